@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +60,19 @@ def hot_keys(df: DataFrame, key: str, most: int = 64) -> DataFrame:
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
     return F.broadcast(counts.orderBy(F.desc("__n"), key).limit(most).select(key, F.lit(True).alias("hot")))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, once: they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_folioscope_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix=f"{root.name}-code-")  # only the driver reads it, to serve it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    out = os.path.join(folder, f"{root.name}.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(out)
+    sc._folioscope_shipped = True
