@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import chunks, url_groups
+from ..session import small, table
+from . import bpe, chunks, mixing, url_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,11 +31,37 @@ def p6_resources(spark: SparkSession, d: str) -> DataFrame:
     return url_groups.collapsed(table(spark, d, "link_status"))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"))
+
+
+def _mix(spark: SparkSession, d: str):
+    targets = table(spark, d, "mix_targets")
+    docs = table(spark, d, "documents").join(small(targets.select("source").distinct()), "source", "left_semi")
+    counted = mixing.counted_documents(docs, ["source"], bpe.token_counts)
+    leaves, total = mixing.plan(counted, targets, ["source"])
+    return mixing.mix(counted, leaves, ["source"]), leaves, total
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix with the number of times each is used."""
+    return _mix(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and actual shares per source."""
+    mixed, leaves, total = _mix(spark, d)
+    return mixing.shares(mixed, leaves, total, ["source"])
+
+
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p6_found": p6_found,
     "p6_resources": p6_resources,
+    "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
 }
 
 _CANON = r"""
