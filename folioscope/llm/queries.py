@@ -8,11 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import small, table
-from . import bpe, chunks, mixing, url_groups
+from . import bpe, chunks, mixing, spans, url_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records with at least 120 characters in common."""
+    return spans.pairs(spans.records(table(spark, d, "code_blocks"), table(spark, d, "symbols")))
+
+
+def p1_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each record is shared elsewhere."""
+    return spans.coverage(spans.records(table(spark, d, "code_blocks"), table(spark, d, "symbols")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Items that came out in pieces."""
     found = chunks.split_corpus(table(spark, d, "markdown_docs"), table(spark, d, "embedding_cache"))
@@ -55,6 +65,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_shared": p1_shared,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p6_found": p6_found,
