@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import small, table
-from . import bpe, chunks, mixing, spans, url_groups
+from . import bpe, chunks, mixing, nearest, spans, url_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,16 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunks.split_corpus(table(spark, d, "markdown_docs"), table(spark, d, "embedding_cache"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of vectors of which one is among the 5 most similar of the other, with a cosine of 0.85 or more."""
+    return nearest.pairs(nearest.neighbours(nearest.collection(table(spark, d, "vectors"), table(spark, d, "embedding_cache"))), 0.85)
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar others of every usable vector."""
+    return nearest.neighbours(nearest.collection(table(spark, d, "vectors"), table(spark, d, "embedding_cache")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return url_groups.members(table(spark, d, "link_status"))
 
@@ -69,6 +79,8 @@ QUERIES: dict[str, Query] = {
     "p1_shared": p1_shared,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
     "p6_found": p6_found,
     "p6_resources": p6_resources,
     "p7_ids": p7_ids,
