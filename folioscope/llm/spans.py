@@ -4,8 +4,8 @@ Reference index: every record gives anchors, the windowed minima of the hashes o
 that any ``min_length`` characters contain one and that equal text gives equal anchors. Parsing: where an anchor of a
 record is found in a reference block, the factor is extended greedily from anchor to anchor for as long as the hashed
 text between them is the same; at both factor boundaries the characters themselves are compared, and what is at least
-``min_length`` characters long becomes a span. Anchors that very many records have are refined to exact strings of
-``min_length`` characters around them before anything is paired, so no pair is formed that isn't in the result.
+``min_length`` characters long becomes a span. Anchors that very many records have are refined with more of the text
+around them, in the end to exact strings of ``min_length`` characters, before anything is paired.
 
 Records of equal text are one class with a smallest code_id; only one of a class is parsed.
 """
@@ -17,15 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, ship, stored
+from ..session import ship, small, stored
 
 MIN_LENGTH = 120
 #: Characters of an anchor; the window is ``min_length - K + 1`` anchors wide.
 K = 30
-#: An anchor that more places than this share is refined to exact strings instead of being paired.
+#: An anchor that more places than this share is refined, with more of the text around it, instead of being paired.
 COLD = 48
 #: Characters hashed at a time.
 _BLOCK = 1 << 18
+#: Texts that a task remembers having parsed.
+_SEEN = 1_000_000
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
 
@@ -43,9 +45,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[str], min_length: int, k: int, powers=None) -> tuple[np.ndarray, ...]:
-    """(text number, position, anchor hash, position of the next anchor or -1, hash of the text from this anchor to the end of the next).
+    """(text number, position, anchor hash, position of the next anchor or -1, hash of the text from this anchor to the end of
+    the next, hashes of what stands before and after it in 32 bits each, 0 where too little does).
 
-    Runs of one repeated anchor keep their first and last.
+    Periodic text gives many anchors of one hash, which are then shared enough to be refined to exact strings.
     """
     w = min_length - k + 1
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -53,7 +56,7 @@ def anchors(texts: list[str], min_length: int, k: int, powers=None) -> tuple[np.
     n = len(chars)
     empty = np.zeros(0, np.int64)
     if n < min_length:
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, empty
     up, down = powers if powers is not None and len(powers[0]) > n else _powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
@@ -73,11 +76,6 @@ def anchors(texts: list[str], min_length: int, k: int, powers=None) -> tuple[np.
     inside = owner[first] == owner[first + min_length - 1]
     chosen = np.unique((np.uint64(0xFFFFFF) - (least[inside] & np.uint64(0xFFFFFF))).astype(np.int64))
     of, value = owner[chosen], grams[chosen]
-    if len(chosen) > 2:
-        same = (value[1:] == value[:-1]) & (of[1:] == of[:-1])
-        drop = np.zeros(len(chosen), bool)
-        drop[1:-1] = same[:-1] & same[1:]
-        chosen, of, value = chosen[~drop], of[~drop], value[~drop]
     begin = chosen - (ends - lengths)[of]
     follow = np.full(len(chosen), -1, np.int64)
     link = np.zeros(len(chosen), np.uint64)
@@ -85,7 +83,15 @@ def anchors(texts: list[str], min_length: int, k: int, powers=None) -> tuple[np.
     follow[linked] = begin[linked + 1]
     a, b = chosen[linked], chosen[linked + 1] + k
     link[linked] = _mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
-    return of, begin, _mixed(value).view(np.int64), follow, link.view(np.int64)
+    half = (min_length - k + 1) // 2
+    left, right = np.zeros(len(chosen), np.uint64), np.zeros(len(chosen), np.uint64)
+    there = np.flatnonzero(begin >= half)
+    a = chosen[there]
+    left[there] = _mixed((sums[a] - sums[a - half]) * down[a - half]) >> np.uint64(32) | np.uint64(1)
+    there = np.flatnonzero(begin + k + half <= lengths[of])
+    a = chosen[there] + k
+    right[there] = _mixed((sums[a + half] - sums[a]) * down[a]) >> np.uint64(32) | np.uint64(1)
+    return of, begin, _mixed(value).view(np.int64), follow, link.view(np.int64), (left << np.uint64(32) | right).view(np.int64)
 
 
 def _pieces(text: str, min_length: int):
@@ -98,40 +104,43 @@ def _pieces(text: str, min_length: int):
 
 
 def anchor_table(texts: DataFrame, min_length: int = MIN_LENGTH, k: int = K) -> DataFrame:
-    """(cid, pos, h, nxt, g) of every anchor of (cid, code): position, hash, next anchor's position and the hash up to it."""
+    """(cid, at, h, g, e) of every anchor of (cid, code): place, hash, hash of the text to the end of the next one, and of its sides.
+
+    ``at`` holds the position in its upper and the distance to the next anchor (0: there is none) in its lower 32 bits. A
+    task parses a text only once, so copies add at most one set of anchors for each task.
+    """
     ship(texts.sparkSession)
 
     def run(batches):
         powers = _powers(2 * _BLOCK)
-        for batch in batches:
-            ids, held, size = [], [], 0
-
-            def flush(ids=ids, held=held):
-                # A very long text comes in pieces; a link is lost where one piece ends, never an anchor.
-                of, pos, h, nxt, g = anchors([t for _, t in held], min_length, k, powers)
-                base = np.array([o for o, _ in held], np.int64)[of] if len(of) else of
-                cid = np.array(ids, np.int64)[of] if len(of) else of
-                out = pa.RecordBatch.from_arrays(
-                    [pa.array(cid), pa.array((pos + base).astype(np.int32)), pa.array(h), pa.array(np.where(nxt < 0, -1, nxt + base).astype(np.int32)), pa.array(g)],
-                    ["cid", "pos", "h", "nxt", "g"],
-                )
-                ids.clear()
-                held.clear()
-                return out
+        seen: set[int] = set()
+        ids, held = [], []
 
+        def flush():
+            # A very long text comes in pieces; a link is lost where a piece ends, never an anchor.
+            of, pos, h, follow, g, e = anchors([t for _, t in held], min_length, k, powers)
+            base, cid = np.array([o for o, _ in held], np.int64)[of], np.array(ids, np.int64)[of]
+            at = (pos + base) << 32 | np.where(follow < 0, 0, follow - pos)
+            return pa.RecordBatch.from_arrays([pa.array(cid), pa.array(at), pa.array(h), pa.array(g), pa.array(e)], ["cid", "at", "h", "g", "e"])
+
+        size = 0
+        for batch in batches:
             for cid, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if cid in seen:
+                    continue
+                if len(seen) < _SEEN:
+                    seen.add(cid)
                 for offset, piece in _pieces(code, min_length):
                     if size and size + len(piece) > _BLOCK:
                         yield flush()
-                        size = 0
+                        ids, held, size = [], [], 0
                     ids.append(cid)
                     held.append((offset, piece))
                     size += len(piece)
-            if held:
-                yield flush()
+        if held:
+            yield flush()
 
-    out = texts.select("cid", "code").mapInArrow(run, "cid bigint, pos int, h bigint, nxt int, g bigint")
-    return out
+    return texts.select("cid", "code").mapInArrow(run, "cid bigint, at bigint, h bigint, g bigint, e bigint")
 
 
 def records(*tables: DataFrame) -> DataFrame:
@@ -143,71 +152,131 @@ def records(*tables: DataFrame) -> DataFrame:
     return rows.where("code_id is not null and code is not null")
 
 
-def classes(rows: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
-    """(code_id, cid, sha): each record of at least ``min_length`` characters with the smallest code_id that has the same text.
+def classes(rows: DataFrame, min_length: int = MIN_LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(code_id, cid) of each record of at least ``min_length`` characters, where equal texts have equal cid, and (cid, code).
 
-    Of an id that comes with several texts, the one with the smallest digest is taken.
+    The class is a hash of the text; a SHA-256 beside it proves that no two texts share one, else another seed is taken.
     """
-    keyed = rows.where(F.length("code") >= min_length).select("code_id", F.sha2("code", 256).alias("sha")).groupBy("code_id").agg(F.min("sha").alias("sha"))
-    least = keyed.groupBy("sha").agg(F.min("code_id").alias("cid"))
-    return keyed.join(least, "sha").select("code_id", "cid", "sha")
-
-
-def spans(rows: DataFrame, members: DataFrame, min_length: int = MIN_LENGTH, k: int = K, cold: int = COLD) -> tuple[DataFrame, DataFrame]:
-    """(factors, strings): where classes share text.
-
-    ``factors``: (a, b, a_start, b_start, n) with a < b, a maximal stretch of n >= min_length characters around common
-    anchors. ``strings``: (s, cid, pos), exact strings of ``min_length`` characters that classes of much-shared anchors
-    have in common; those with equal s are equal.
+    long = rows.where(F.length("code") >= min_length)
+    for seed in range(8):
+        cid = F.xxhash64(F.lit(seed), "code").alias("cid")
+        members = stored(long.select("code_id", cid, F.unhex(F.sha2("code", 256)).alias("sha")).distinct())
+        if members.groupBy("cid").agg(F.min("sha").alias("x"), F.max("sha").alias("y")).where("x <> y").isEmpty():
+            break
+    return members.select("code_id", "cid"), long.select(cid, "code")
+
+
+def spans(texts: DataFrame, min_length: int = MIN_LENGTH, k: int = K, cold: int = COLD, whole: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(factors, strings): where the classes of (cid, code) share text.
+
+    ``factors``: (a, b, a_start, b_start, n) with a < b, a stretch of n >= min_length characters around common anchors; it
+    is maximal if ``whole``; otherwise it is enough of it, and of each pair, to tell that they share one.
+    ``strings``: (s, cid, pos, paired), exact strings of ``min_length`` characters over much-shared anchors that at least
+    two classes have; those with equal s are equal. None if no anchor is shared that much.
     """
-    heads = members.where("code_id = cid").select("cid", "sha")
-    long = rows.where(F.length("code") >= min_length).select(F.col("code_id").alias("cid"), "code", F.sha2("code", 256).alias("sha"))
-    texts = long.join(heads, ["cid", "sha"], "left_semi").dropDuplicates(["cid"]).select("cid", "code")
     found = stored(anchor_table(texts, min_length, k))
-    counts = found.groupBy("h").agg(F.count("*").alias("places")).where("places > 1")
-    shared = found.join(counts, "h")
-    few = shared.where(F.col("places") <= cold)
-    a = few.select("h", F.col("cid").alias("a"), F.col("pos").alias("pa"), F.col("nxt").alias("na"), F.col("g").alias("ga"))
-    b = few.select("h", F.col("cid").alias("b"), F.col("pos").alias("pb"), F.col("nxt").alias("nb"), F.col("g").alias("gb"))
-    met = a.join(b, "h").where("a < b").select("a", "b", "pa", (F.col("pb") - F.col("pa")).alias("shift"), F.when((F.col("na") >= 0) & (F.col("nb") >= 0) & (F.col("ga") == F.col("gb")), F.col("na")).alias("link"), "na")
+    groups = stored(grouped(found, "h", cold))
+    position = lambda c: F.shiftright(c, 32).cast("int")
+    gap = F.col("x.at").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    met = met_in(groups, cold).where(reaching("x.e", "y.e")).select(
+        F.col("x.cid").alias("a"),
+        F.col("y.cid").alias("b"),
+        position(F.col("x.at")).alias("pa"),
+        (position(F.col("y.at")) - position(F.col("x.at"))).alias("shift"),
+        F.when(F.col("x.g") == F.col("y.g"), gap).otherwise(0).alias("gap"),
+    )
     line = Window.partitionBy("a", "b", "shift").orderBy("pa")
-    begins = met.withColumn("new", F.coalesce(F.lag("link").over(line) != F.col("pa"), F.lit(True)).cast("int"))
+    begins = met.repartition("a", "b").withColumn("new", F.coalesce((F.lag("gap").over(line) == 0) | (F.lag(F.col("pa") + F.col("gap")).over(line) != F.col("pa")), F.lit(True)).cast("int"))
     chained = begins.withColumn("factor", F.sum("new").over(line))
-    factor = chained.groupBy("a", "b", "shift", "factor").agg(F.min("pa").alias("first"), F.max("pa").alias("last"))
-    return bounded(factor, texts, min_length, k), exact_strings(shared.where(F.col("places") > cold), texts, min_length, k)
+    factor = chained.groupBy("a", "b", "shift", "factor").agg(F.min("pa").alias("first"), F.max("pa").alias("last")).drop("factor")
+    strings = None
+    hot = groups.where(F.size("p") > cold).select("h")
+    if not hot.isEmpty():
+        again, strings = refined(found.join(small(hot), "h").select("h", "cid", position(F.col("at")).alias("pos"), "e"), texts, min_length, k, cold)
+        factor = factor.unionByName(again)
+    inside = F.col("last") - F.col("first") + k
+    if whole:
+        return bounded(factor, texts, min_length, k), strings
+    sure = inside >= min_length
+    decided = factor.withColumn("sure", F.max(sure).over(Window.partitionBy("a", "b")))
+    decided = stored(decided.where(sure | ~F.col("sure")))
+    kept = decided.where("sure").select("a", "b", F.col("first").alias("a_start"), (F.col("first") + F.col("shift")).alias("b_start"), inside.alias("n"))
+    return kept.unionByName(bounded(decided.where("not sure").drop("sure"), texts, min_length, k)), strings
+
+
+def reaching(x: str, y: str):
+    """Whether two anchors may lie in a common stretch: half of the rest of it is on one side of them, and alike."""
+    same = F.col(x).bitwiseXOR(F.col(y))
+    low = F.lit(0xFFFFFFFF)
+    left = (F.shiftright(same, 32) == 0) & (F.shiftright(F.col(x), 32) != 0)
+    return left | (same.bitwiseAND(low) == 0) & (F.col(x).bitwiseAND(low) != 0)
+
+
+def grouped(rows: DataFrame, key: str, cold: int) -> DataFrame:
+    """(key, p): what rows of one key have besides it, at most ``cold + 1`` of them and at least two.
+
+    Each map task sends at most ``cold + 1`` different rows of a key on, so no key is ever gathered in one place; a list of
+    ``cold + 1`` entries says that the key is much shared and has to be refined.
+    """
+    rest = [c for c in rows.columns if c != key]
+    ranked = rows.withColumn("__n", F.dense_rank().over(Window.partitionBy(key).orderBy(*rest)))
+    kept = ranked.where(F.col("__n") <= cold + 1).groupBy(key).agg(F.collect_set(F.struct(*rest)).alias("p"))
+    return kept.where("size(p) > 1")
+
+
+def met_in(groups: DataFrame, cold: int) -> DataFrame:
+    """(x, y): the pairs, x.cid < y.cid, in groups that aren't much shared."""
+    partners = F.transform("p", lambda x: F.transform(F.filter("p", lambda y: y["cid"] > x["cid"]), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    return groups.where(F.size("p") <= cold).select(F.inline(F.flatten(partners)))
+
+
+def refined(places: DataFrame, texts: DataFrame, min_length: int, k: int, cold: int) -> tuple[DataFrame, DataFrame | None]:
+    """Much-shared anchors, as (a, b, shift, first, last) where they meet, and as exact strings where even more is shared.
+
+    A stretch of ``min_length`` characters over an anchor has half of the rest on one side of it at least; so the anchor
+    with that half to its left, or to its right, is the next key.
+    """
+    left, right = F.shiftright("e", 32), F.col("e").bitwiseAND(F.lit(0xFFFFFFFF))
+    keys = F.array(F.when(left != 0, F.struct(F.xxhash64("h", left, F.lit(0)).alias("h"))), F.when(right != 0, F.struct(F.xxhash64("h", right, F.lit(1)).alias("h"))))
+    longer = stored(places.distinct().select("cid", "pos", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("x")).select("x.h", "cid", "pos"))
+    groups = stored(grouped(longer, "h", cold))
+    factor = met_in(groups, cold).select(
+        F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), (F.col("y.pos") - F.col("x.pos")).alias("shift"), F.col("x.pos").alias("first"), F.col("x.pos").alias("last")
+    )
+    hot = groups.where(F.size("p") > cold).select("h")
+    strings = None if hot.isEmpty() else exact_strings(longer.join(small(hot), "h").select("h", "cid", "pos").distinct(), texts.dropDuplicates(["cid"]), min_length, k)
+    return factor.distinct(), strings
 
 
 def bounded(factor: DataFrame, texts: DataFrame, min_length: int, k: int) -> DataFrame:
-    """Factors extended at both boundaries by comparing characters, as (a, b, a_start, b_start, n) of at least ``min_length``."""
+    """Factors extended at both boundaries by comparing characters, as (a, b, a_start, b_start, n) of at least ``min_length``.
+
+    Each text is shuffled once: both sides of a factor ask for their context in one join, and then meet.
+    """
     ship(texts.sparkSession)
     reach = 2 * min_length
-
-    def context(side: str, first, last) -> list:
-        left = F.greatest(first - reach, F.lit(0))
-        return [
-            F.expr("code").substr(left + 1, first - left).alias(f"l{side}"),
-            F.col("code").substr(last + k + 1, F.lit(reach)).alias(f"r{side}"),
-        ]
-
-    one = factor.join(texts.withColumnRenamed("cid", "a"), "a").select("a", "b", "shift", "first", "last", *context("a", F.col("first"), F.col("last")))
-    first, last = F.col("first") + F.col("shift"), F.col("last") + F.col("shift")
-    two = one.join(texts.withColumnRenamed("cid", "b"), "b").select("a", "b", "shift", "first", "last", "la", "ra", *context("b", first, last))
+    shift = F.col("shift")
+    sides = F.array(
+        F.struct(F.col("a").alias("cid"), F.lit(0).alias("side"), F.col("first").alias("x"), F.col("last").alias("y")),
+        F.struct(F.col("b").alias("cid"), F.lit(1).alias("side"), (F.col("first") + shift).alias("x"), (F.col("last") + shift).alias("y")),
+    )
+    asked = small(stored(factor.select("a", "b", "shift", "first", "last", F.inline(sides)).distinct()))
+    left = F.greatest(F.col("x") - reach, F.lit(0))
+    context = F.struct("side", F.col("code").substr(left + 1, F.col("x") - left).alias("l"), F.col("code").substr(F.col("y") + k + 1, F.lit(reach)).alias("r"))
+    both = asked.join(texts, "cid").groupBy("a", "b", "shift", "first", "last").agg(F.min(context).alias("p"), F.max(context).alias("q"))
+    two = both.select("a", "b", "shift", "first", "last", F.col("p.l").alias("la"), F.col("p.r").alias("ra"), F.col("q.l").alias("lb"), F.col("q.r").alias("rb"))
 
     def run(batches):
         for batch in batches:
-            get = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
-            start, size, keep = [], [], []
-            for i, (la, ra, lb, rb, x, y) in enumerate(zip(get["la"], get["ra"], get["lb"], get["rb"], get["first"], get["last"])):
-                left, right = common(la[::-1], lb[::-1]), common(ra, rb)
-                n = y - x + k + left + right
-                if n >= min_length:
-                    keep.append(i)
-                    start.append(x - left)
-                    size.append(n)
-            kept = batch.take(pa.array(keep, pa.int32()))
-            begin = pa.array(start, pa.int32())
-            shifted = pa.array([s + d for s, d in zip(start, kept.column(2).to_pylist())], pa.int32())
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), begin, shifted, pa.array(size, pa.int32())], ["a", "b", "a_start", "b_start", "n"])
+            la, ra, lb, rb = (batch.column(i).to_pylist() for i in range(5, 9))
+            x, y = (batch.column(i).to_numpy() for i in (3, 4))
+            left = np.array([common(p[::-1], q[::-1]) for p, q in zip(la, lb)], np.int32)
+            right = np.array([common(p, q) for p, q in zip(ra, rb)], np.int32)
+            n = y - x + k + left + right
+            keep = np.flatnonzero(n >= min_length)
+            kept = batch.take(pa.array(keep))
+            begin = (x - left)[keep]
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(begin), pa.array(begin + kept.column(2).to_numpy()), pa.array(n[keep])], ["a", "b", "a_start", "b_start", "n"])
 
     return two.mapInArrow(run, "a bigint, b bigint, a_start int, b_start int, n int")
 
@@ -227,15 +296,18 @@ def common(x: str, y: str) -> int:
 
 
 def exact_strings(hot: DataFrame, texts: DataFrame, min_length: int, k: int) -> DataFrame:
-    """(s, cid, pos): strings of ``min_length`` characters over much-shared anchors that at least two classes have.
+    """(s, cid, pos, paired): strings of ``min_length`` characters over much-shared anchors that at least two classes have.
 
-    Of neighbouring strings that the same classes share, one is kept for pairing; ``span`` tells how far they go on.
+    Of neighbouring strings that the same classes share, one is ``paired``: the others would only give the same pairs.
     """
     low = F.greatest(F.col("pos") + k - min_length, F.lit(0))
     high = F.least(F.col("pos"), F.length("code") - min_length)
-    starts = hot.select("cid", "pos", "h").join(texts, "cid").where(low <= high).select("cid", "h", "pos", "code", F.explode(F.sequence(low, high)).alias("at"))
-    strings = starts.select("cid", "h", "at", F.xxhash64(F.col("code").substr(F.col("at") + 1, F.lit(min_length)), F.lit(min_length)).alias("s")).groupBy("s", "cid").agg(F.min("at").alias("pos"), F.min("h").alias("h"))
-    sets = strings.groupBy("s").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cid") % 1000000007).alias("who"), F.bit_xor(F.xxhash64("cid")).alias("who2"), F.min("h").alias("h")).where("n > 1")
+    starts = hot.select("cid", "pos", "h").join(texts, "cid").where(low <= high).select("cid", "h", "code", F.explode(F.sequence(low, high)).alias("at"))
+    string = F.xxhash64(F.col("code").substr(F.col("at") + 1, F.lit(min_length)), F.lit(min_length)).alias("s")
+    strings = stored(starts.select(string, "cid", F.col("at").alias("pos"), "h").groupBy("s", "cid", "pos").agg(F.min("h").alias("h")))
+    owners = strings.groupBy("s", "cid").agg(F.min("h").alias("h"))
+    who = [F.count("*").alias("n"), F.sum(F.xxhash64("cid") % 1000000007).alias("who"), F.bit_xor(F.xxhash64("cid")).alias("who2"), F.min("h").alias("h")]
+    sets = owners.groupBy("s").agg(*who).where("n > 1")
     one = sets.groupBy("h", "n", "who", "who2").agg(F.min("s").alias("keep"))
     marked = sets.join(one, ["h", "n", "who", "who2"]).select("s", (F.col("s") == F.col("keep")).alias("paired"))
     return strings.select("s", "cid", "pos").join(marked, "s")
@@ -245,16 +317,17 @@ def pairs(rows: DataFrame, min_length: int = MIN_LENGTH, **options) -> DataFrame
     """(code_id_a, code_id_b), a < b: all pairs of records that share a stretch of at least ``min_length`` characters.
 
     Records with a null code_id or code, or shorter than ``min_length``, are in no pair. A record sent twice counts once;
-    an id that comes with several texts has the spans of each. Exact copies are pairs as well.
+    an id that comes with several texts stands for all of them. Exact copies are pairs as well.
     """
-    members = cut(classes(rows, min_length))
-    factors, strings = spans(rows, members, min_length, **options)
-    s = strings.where("paired").select("s", "cid")
-    alike = s.withColumnRenamed("cid", "a").join(s.withColumnRenamed("cid", "b"), "s").where("a < b").select("a", "b")
-    between = factors.select("a", "b").unionByName(alike).distinct()
+    members, texts = classes(rows, min_length)
+    factors, strings = spans(texts, min_length, whole=False, **options)
+    between = factors.select("a", "b")
+    if strings is not None:
+        s = strings.where("paired").select("s", "cid").distinct()
+        between = between.unionByName(s.withColumnRenamed("cid", "a").join(s.withColumnRenamed("cid", "b"), "s").where("a < b").select("a", "b"))
     left = members.select(F.col("cid").alias("a"), F.col("code_id").alias("x"))
     right = members.select(F.col("cid").alias("b"), F.col("code_id").alias("y"))
-    across = between.join(left, "a").join(right, "b").select("x", "y")
+    across = between.distinct().join(left, "a").join(right, "b").select("x", "y")
     within = members.select("cid", F.col("code_id").alias("x")).join(members.select("cid", F.col("code_id").alias("y")), "cid").where("x < y").select("x", "y")
     both = across.unionByName(within).where("x <> y")
     return both.select(F.least("x", "y").alias("code_id_a"), F.greatest("x", "y").alias("code_id_b")).distinct()
@@ -264,15 +337,16 @@ def coverage(rows: DataFrame, min_length: int = MIN_LENGTH, **options) -> DataFr
     """Per code_id: n_chars, shared_chars (characters in stretches that some other record has), n_spans (merged stretches).
 
     Records shorter than ``min_length`` share nothing; a text that another record repeats in full is shared throughout.
-    Records with a null code have no row.
+    Records with a null code have no row. Of an id with several texts, the largest figures count.
     """
-    members = cut(classes(rows, min_length))
-    factors, strings = spans(rows, members, min_length, **options)
-    covered = (
-        factors.select(F.col("a").alias("cid"), F.col("a_start").alias("x"), (F.col("a_start") + F.col("n")).alias("y"))
-        .unionByName(factors.select(F.col("b").alias("cid"), F.col("b_start").alias("x"), (F.col("b_start") + F.col("n")).alias("y")))
-        .unionByName(strings.select("cid", F.col("pos").alias("x"), (F.col("pos") + min_length).alias("y")))
+    members, texts = classes(rows, min_length)
+    factors, strings = spans(texts, min_length, **options)
+    end = lambda x: (F.col(x) + F.col("n")).alias("y")
+    covered = factors.select(F.col("a").alias("cid"), F.col("a_start").alias("x"), end("a_start")).unionByName(
+        factors.select(F.col("b").alias("cid"), F.col("b_start").alias("x"), end("b_start"))
     )
+    if strings is not None:
+        covered = covered.unionByName(strings.select("cid", F.col("pos").alias("x"), (F.col("pos") + min_length).alias("y")))
     line = Window.partitionBy("cid").orderBy("x", "y")
     reach = F.max("y").over(line.rowsBetween(Window.unboundedPreceding, -1))
     merged = covered.groupBy("cid", "x").agg(F.max("y").alias("y")).withColumn("reach", F.coalesce(reach, F.lit(-1)))
