@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import small, table
-from . import bpe, chunks, mixing, nearest, spans, url_groups
+from . import bpe, chunks, mixing, nearest, prose, spans, url_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixed, leaves, total, ["source"])
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents mostly of keywords, links, menus, tags or codes."""
+    return prose.spam(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_shared": p1_shared,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
 }
 
 _CANON = r"""
