@@ -121,7 +121,8 @@ def neighbours(rows: DataFrame, k: int = 5, probes: int = PROBES, floor: float =
     n = base.count()
     if n == 0:
         return spark.createDataFrame([], "key string, neighbour string, cosine float, rank int")
-    sample = base.select("cid", "unit").orderBy(F.xxhash64("cid")).limit(SAMPLE).toArrow()
+    rate = min(1.0, SAMPLE / n)  # so about SAMPLE vectors reach the driver, whatever the size
+    sample = base.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) < int(rate * (1 << 30))).select("unit").toArrow()
     points = np.frombuffer(b"".join(sample.column("unit").to_pylist()), np.float32).reshape(-1, d)
     centres = fit_centres(points, max(1, min(MOST_CELLS, n // MEMBERS)))
     placed = stored(_placed(base, centres, min(probes, len(centres)), d))

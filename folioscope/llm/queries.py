@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import small, table
-from . import bpe, chunks, mixing, nearest, prose, spans, url_groups
+from . import bpe, chunks, mixing, nearest, prose, spans, url_groups, validity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,16 @@ def p1_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(spans.records(table(spark, d, "code_blocks"), table(spark, d, "symbols")))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks that aren't a complete, valid file of their language."""
+    return validity.checked(table(spark, d, "code_blocks")).where("not valid").select("code_id")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates per repo and language."""
+    return validity.rates(table(spark, d, "code_blocks"), table(spark, d, "snippet_results"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Items that came out in pieces."""
     found = chunks.split_corpus(table(spark, d, "markdown_docs"), table(spark, d, "embedding_cache"))
@@ -82,6 +92,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_shared": p1_shared,
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
