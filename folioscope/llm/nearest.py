@@ -125,7 +125,7 @@ def neighbours(rows: DataFrame, k: int = 5, probes: int = PROBES, floor: float =
     sample = base.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) < int(rate * (1 << 30))).select("unit").toArrow()
     points = np.frombuffer(b"".join(sample.column("unit").to_pylist()), np.float32).reshape(-1, d)
     centres = fit_centres(points, max(1, min(MOST_CELLS, n // MEMBERS)))
-    placed = stored(_placed(base, centres, min(probes, len(centres)), d))
+    placed = _placed(base, centres, min(probes, len(centres)), d)  # cheaper to place again than to keep
     homes = placed.groupBy(F.col("cells")[0].alias("cell")).agg(F.count("*").alias("m"))
     visits = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("q"))
     sizes = {r["cell"]: (r["m"], r["q"]) for r in visits.join(homes, "cell").collect()}  # at most MOST_CELLS rows
