@@ -50,7 +50,7 @@ def repository(url: Column) -> Column:
 def target(doc_path: Column, base_path: Column, url: Column) -> Column:
     """The path a relative or absolute url resolves to."""
     file = file_part(url)
-    return F.when(file.startswith("/"), paths.join(base_path, F.ltrim(F.lit("/"), file))).otherwise(paths.join(paths.directory(doc_path), file))
+    return F.when(file.startswith("/"), paths.join(base_path, F.ltrim(file, F.lit("/")))).otherwise(paths.join(paths.directory(doc_path), file))
 
 
 def inventory(files: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def chosen(groups: DataFrame, only: Sequence[str] = (), skip: Sequence[str] = ()
 
 def branch_name(owners: Column, prefix: str = "docs/fix-") -> Column:
     """A branch name of the first owner: ``@`` dropped, ``/`` and ``_`` to hyphens, other marks deleted."""
-    first = F.regexp_replace(F.regexp_replace(F.ltrim(F.lit("@"), F.try_element_at(owners, F.lit(1))), "[/_]", "-"), "[^a-zA-Z0-9-]", "")
+    first = F.regexp_replace(F.regexp_replace(F.ltrim(F.try_element_at(owners, F.lit(1)), F.lit("@")), "[/_]", "-"), "[^a-zA-Z0-9-]", "")
     return F.concat(F.lit(prefix), F.when(F.size(owners) > 0, first).otherwise("no-owner"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["references"]
+MODULES = ["references", "documents"]
 
 
 def _gather(name: str) -> dict:
