@@ -24,13 +24,16 @@ def orphans(rows: DataFrame, keys: list[str], parents: DataFrame, parent_keys: l
     table makes every reference an orphan; an empty ``rows`` gives no rows. Column names may clash: parents are
     projected to internal names. A hot key is salted on the way back, so it is spread over ``salts`` tasks.
     """
-    names = [f"__k{i}" for i in range(len(keys))]
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if dict(rows.dtypes)[c] in _HASHABLE] or [F.lit(0)]), F.lit(salts))
-    keyed = rows.select("*", *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], salt.alias("__salt"))
+    taken = {c.lower() for c in rows.columns}
+    mark = next(m for m in ("__", *(f"__{i}_" for i in range(len(taken) + 1))) if not any(c.startswith(m) for c in taken))
+    names, salt_name = [f"{mark}k{i}" for i in range(len(keys))], f"{mark}salt"
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    salt = F.pmod(F.xxhash64(*([F.col(f"`{c}`") for c, t in rows.dtypes if t in _HASHABLE] or [F.lit(0)])), F.lit(salts))
+    keyed = rows.select(*own, *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], salt.alias(salt_name))
     known = keyed.where(" and ".join(f"{n} is not null" for n in names))
     have = parents.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(parent_keys, names)]).dropna().distinct()
-    missing = known.select(*names, "__salt").distinct().join(have, names, "left_anti")
-    return known.join(missing, [*names, "__salt"], "left_semi").select(*[F.col(f"`{c}`") for c in rows.columns])
+    missing = known.select(*names, salt_name).distinct().join(have, names, "left_anti")
+    return known.join(missing, [*names, salt_name], "left_semi").select(*own)
 
 
 _HASHABLE = {"string", "int", "bigint", "double", "float", "boolean", "timestamp", "timestamp_ntz", "date", "smallint"}
