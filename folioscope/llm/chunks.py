@@ -3,7 +3,7 @@
 The expression consumes at most ``limit - overlap`` characters per match. Its alternatives are ordered by the strength of
 the boundary they end at (before a heading, after a blank line, line end, sentence end, white space); the last one takes
 any characters, so nothing is ever lost. Each piece is then led by the end of the one before: a lookback of ``overlap``
-characters, shortened to begin at a boundary where its first half has one. All of it is native array and string SQL.
+characters, shortened to begin at a boundary where its first quarter has one. All of it is native array and string SQL.
 """
 
 from __future__ import annotations
@@ -38,9 +38,9 @@ def core_pattern(body: int) -> str:
 
 
 def lookback(before: Column, overlap: int) -> Column:
-    """The last ``overlap`` characters of ``before``, or fewer (at least half) so as to begin after a line end, sentence end or space."""
+    """The last ``overlap`` characters of ``before``, or fewer (three quarters at least) so as to begin after a line end, sentence end or space."""
     tail = F.substring(before, -overlap, overlap)
-    lead = max(0, overlap // 2)
+    lead = max(0, overlap // 4 - 2)
     cuts = [f"(?s)^.{{0,{lead}}}?\\n(.*)\\z", f"(?s)^.{{0,{lead}}}?{SENTENCE_END}\\s(.*)\\z", f"(?s)^.{{0,{lead}}}?\\s(.*)\\z"]
     begun = [F.nullif(F.regexp_extract(tail, c, 1), F.lit("")) for c in cuts]
     return F.when(F.length(before) <= overlap, before).otherwise(F.coalesce(*begun, tail))
