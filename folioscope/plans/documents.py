@@ -10,6 +10,7 @@ from ..operators import fixes, links, owners, reports, semantic, snippets
 from ..session import checkpoint_dir, table
 from ..sources import caches, markdown
 from ..streaming import caches as streams
+from .sql import path_sql, slug_sql
 
 #: The time at which caches are looked at.
 NOW = "2025-09-01 00:00:00"
@@ -324,21 +325,9 @@ _PAGES = "(select distinct on (doc_path) * from markdown_docs order by doc_path,
 _HEADS = f"(select doc_path, h.level as level, h.text as text, h.line as line, i as ord from (select doc_path, unnest(headings) as h, generate_subscripts(headings, 1) - 1 as i from {_PAGES}))"
 
 
-def _slug(x: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+', '-', 'g'), '-')"
-
-
 _V3 = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\(([^)]+)\)', '-\1-', 'g'), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '-')"
 _V4 = r"trim(replace(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s.-]', '', 'g'), '\s+', '-', 'g'), '.', ''), '-')"
-_VARIANTS = f"select doc_path, ord, text, unnest([{_slug('text')}, {_V3}, {_V4}]) as v from {_HEADS}"
-
-
-def path_sql(directory: str, file: str) -> str:
-    """SQL of a relative path joined to a directory, for files whose dots stand in front."""
-    up = f"(length(regexp_extract({file}, '^(\\./)*((\\.\\./)*)', 2)) // 3)"
-    parts = f"string_split({directory}, '/')"
-    rest = f"regexp_replace(regexp_replace({file}, '^(\\./)+', ''), '^(\\.\\./)+', '')"
-    return f"array_to_string(list_concat({parts}[1:len({parts}) - {up}], case when {rest} = '' then [] else [{rest}] end), '/')"
+_VARIANTS = f"select doc_path, ord, text, unnest([{slug_sql('text')}, {_V3}, {_V4}]) as v from {_HEADS}"
 
 
 _DIR = "regexp_extract(doc_path, '^(.*)/[^/]*$', 1)"
@@ -357,7 +346,7 @@ _LIVE = f"ts > timestamp '{NOW}' - interval 1440 hours"
 _CHECK = f"""
 inv as (select distinct array_to_string(p[1:n], '/') as path from (select string_split(path, '/') as p, unnest(generate_series(1, len(string_split(path, '/')))) as n
   from (select doc_path as path from markdown_docs union select file_path from symbols))),
-heads as (select *, row_number() over (partition by doc_path, slug order by ord) - 1 as k from (select *, {_slug('text')} as slug from {_HEADS})),
+heads as (select *, row_number() over (partition by doc_path, slug order by ord) - 1 as k from (select *, {slug_sql('text')} as slug from {_HEADS})),
 var as (select doc_path, ord, v from ({_VARIANTS}) where v <> ''),
 narrow as (select doc_path, v as anchor from var union select doc_path, slug || '-' || k from heads where k > 0),
 wide as (select * from narrow union select h.doc_path, v || '-' || k from heads h join var using (doc_path, ord) where k > 0 union select doc_path, replace(lower(text), ' ', '-') from heads where text <> ''),
@@ -374,10 +363,10 @@ SQL = {
     "exclude_globs": r"select distinct doc_path from markdown_docs where not (doc_path like '%/notes/%' or regexp_matches(doc_path, '/api/') or contains(doc_path, 'api') or doc_path like 'README%' or regexp_extract(doc_path, '([^/]*)$', 1) like 'README%')",
     "file_anchor_split": f"select link_id, split_part(url, '#', 1) as file, case when contains(url, '#') then substr(url, strpos(url, '#') + 1) end as anchor from {_L} where url is not null",
     "link_check": f"with {_CHECK} select link_id, status from checked",
-    "anchor_slug": f"select distinct text, {_slug('text')} as slug from {_HEADS}",
+    "anchor_slug": f"select distinct text, {slug_sql('text')} as slug from {_HEADS}",
     "anchor_variants": f"select distinct text, v as variant from ({_VARIANTS}) where v <> ''",
     "anchor_numbering": f"with {_CHECK} select doc_path, anchor from narrow",
-    "safe_anchor": f"select distinct l.link_id, {_slug('h.text')} as slug from {_L} l join {_HEADS} h using (doc_path) where url like '#%' and replace(lower(substr(url, 2)), '-', '') = replace(lower({_slug('h.text')}), '-', '')",
+    "safe_anchor": f"select distinct l.link_id, {slug_sql('h.text')} as slug from {_L} l join {_HEADS} h using (doc_path) where url like '#%' and replace(lower(substr(url, 2)), '-', '') = replace(lower({slug_sql('h.text')}), '-', '')",
     "doc_link_counts": f"select doc_path, count(*) filter (status = 'broken') as broken, count(*) filter (status = 'ok') as ok, count(*) as total from {_L} group by 1",
     "scan_summary": f"select count(distinct doc_path) as files_checked, count(*) as total, count(*) filter (status = 'broken') as broken, count(*) filter (status = 'ok') as ok from {_L}",
     "fail_fast": f"select link_id, doc_path, status from {_L} where string_split(doc_path, '/') <= (select min(string_split(doc_path, '/')) from link_results where status = 'broken')",
