@@ -93,3 +93,8 @@ def fix_plan(results: DataFrame, files: DataFrame, text: str, base: str = "", on
     proposed = fixes.propose(broken, files)
     named = owners.keyed(proposed, *owners.parse_rules(text), path="file_path")
     return owners.fix_plan(owners.chosen(named, only, skip))
+
+
+def failed(results: DataFrame, strict: bool = False) -> bool:
+    """Whether a scan fails: something is broken, or, if ``strict``, in error or timed out."""
+    return not results.where(F.col("status").isin("broken", *(["error", "timeout"] if strict else []))).isEmpty()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import anchors, globs, paths, similarity
-from ..operators import fixes, links, owners, reports, semantic, snippets
+from ..operators import fixes, links, owners, reports, semantic, snippets, symbols
 from ..session import checkpoint_dir, table
 from ..sources import caches, markdown
 from ..streaming import caches as streams
@@ -229,8 +229,8 @@ def code_normalize(s, d):
 
 def snippet_status(s, d):
     """Snippets by file hint and by name; matching by content alone is for smaller sets, see the tests."""
-    symbols = table(s, d, "symbols").dropDuplicates(["code_id"]).withColumnRenamed("code_id", "symbol_id")
-    return snippets.validate(_blocks(s, d), symbols, by_content=False).select("code_id", "status", F.round("similarity", 6).alias("similarity"), "strategy", "source_path")
+    source = table(s, d, "symbols").dropDuplicates(["code_id"]).withColumnRenamed("code_id", "symbol_id")
+    return snippets.validate(_blocks(s, d), source, by_content=False).select("code_id", "status", F.round("similarity", 6).alias("similarity"), "strategy", "source_path")
 
 
 def snippet_counts(s, d):
@@ -302,6 +302,14 @@ def stream_cache_upsert(s, d):
     return s.read.parquet(f"{at}/table").select("url", "ts")
 
 
+def symbol_lookup(s, d):
+    return symbols.prefixed(table(s, d, "symbols").dropDuplicates(["code_id"]), "re", "method").select("code_id", "name")
+
+
+def symbol_counts(s, d):
+    return symbols.counts(table(s, d, "symbols").dropDuplicates(["code_id"]))
+
+
 def path_normalise(s, d):
     rows = _links(s, d).where("url is not null and url not like '%:%' and url <> '' and url not like '#%' and url not like '/%'")
     return rows.select("link_id", paths.join(paths.directory(F.col("doc_path")), links.file_part(F.col("url"))).alias("path")).where("path is not null")
@@ -316,7 +324,7 @@ QUERIES = {
         cache_lookup, cache_join, cache_stats, cache_cleanup, cache_broken_topn, incremental_index, md_headings, md_code_blocks, md_links,
         file_hint, snippet_symbols, code_normalize, snippet_status, snippet_counts, content_hash, chunk_greedy, code_chunks, mean_pool,
         cosine_topk, l2_search, typed_overfetch_search, orphaned_docs, missing_docs, vector_latest, vector_count, stream_cache_upsert,
-        path_normalise,
+        path_normalise, symbol_lookup, symbol_counts,
     )
 }
 
@@ -394,6 +402,8 @@ SQL = {
     "orphaned_docs": "select vec_id as id from embeddings a where label < 5 and not exists (select 1 from embeddings b where b.label >= 5 and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3)",
     "missing_docs": "select vec_id as id from embeddings a where label >= 5 and not exists (select 1 from embeddings b where b.label < 5 and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3)",
     "vector_latest": "select distinct on (id) id, ts, metadata::json ->> '$.type' as type from vectors order by id, ts desc, metadata desc nulls last",
+    "symbol_lookup": "select distinct code_id, name from symbols where starts_with(name, 're') and type = 'method'",
+    "symbol_counts": "select language, type, count(*) as n_symbols, count(distinct file_path) as n_files from (select distinct on (code_id) * from symbols) group by 1, 2",
     "vector_count": "select count(distinct id) as n from vectors",
     "stream_cache_upsert": "select url, max(ts) as ts from link_status where ts is not null group by 1",
     "path_normalise": f"select link_id, {path_sql(_DIR, 'f')} as path from (select *, split_part(url, '#', 1) as f from {_L} where url is not null and not contains(url, ':') and url <> '' and url not like '#%' and url not like '/%')",
