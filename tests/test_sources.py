@@ -163,3 +163,22 @@ def test_engine(spark):
         "b.md": "ok", "c": "broken", "#topp": "broken", "https://x.example": "cached", "https://y.example": "broken", "mailto:q": "skipped", "http://localhost/": "skipped"
     }
     assert {r.url: r.suggestion for r in got.where("suggestion is not null").collect()} == {"c": "Did you mean c.md?", "#topp": "Did you mean #top?"}
+
+
+def test_code_chunks(spark):
+    import re
+
+    def plain(content, ending):
+        out = []
+        if ending == ".py":
+            out = re.findall(r'(?s)"""(.*?)"""', content)
+            out += [content[max(0, m.start() - 100) : m.start() + 500] for m in re.finditer(r"(?:def|class)\s+\w+[^:]*:", content)]
+        elif ending == ".js":
+            out = re.findall(r"(?s)/\*\*(.*?)\*/", content)
+        return [c[:2000] for c in out if len(c) > 50] or [content[:5000]]
+
+    body = '"""' + "doc " * 40 + '"""\nclass A(B):\n' + "    x = 1\n" * 30 + "    def f(self, a: int):\n" + "        pass\n" * 60 + "def g():\n    é = 2\n"
+    data = [(body, ".py"), ("/** " + "x" * 90 + " */ f()", ".js"), ("short", ".py"), ("", ".go"), ("def f(", ".py"), (body * 3, ".py")]
+    df = spark.createDataFrame(data, "content string, ending string")
+    got = [r.c for r in df.select(semantic.code_chunks(F.col("content"), F.col("ending")).alias("c")).collect()]
+    assert got == [plain(*d) for d in data]
