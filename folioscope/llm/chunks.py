@@ -63,12 +63,15 @@ def split_items(items: DataFrame, limit: int, overlap: int) -> DataFrame:
     ends = F.aggregate(
         F.transform("cores", lambda c: F.length(c)), F.array().cast("array<int>"), lambda a, n: F.array_append(a, n + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))
     )
-    each = cores.withColumn("ends", ends).select("*", F.posexplode("cores").alias("piece_no", "core"))
-    before = F.when(F.col("piece_no") > 0, F.expr("cores[piece_no - 1]")).otherwise("")
-    lead = each.withColumn("lead", lookback(before, overlap))
+    # Each piece gets what it needs before the array is taken apart, so that no row carries the whole of it.
+    before = F.concat(F.array(F.lit("")), F.slice("cores", 1, F.size("cores") - 1))
+    zipped = F.arrays_zip(F.col("cores").alias("core"), before.alias("before"), ends.alias("end"))
+    each = cores.where(F.size("cores") > 0).select("item_table", "item_key", "chunk_no", "item_hash", "item_chars", F.posexplode(zipped).alias("piece_no", "z"))
+    each = each.select("*", F.col("z.core").alias("core"), F.col("z.before").alias("before"), F.col("z.end").alias("end"))
+    lead = each.withColumn("lead", lookback(F.col("before"), overlap))
     return lead.select(
         "item_table", "item_key", "chunk_no", "item_hash", "item_chars", "piece_no",
-        (F.expr("ends[piece_no]") - F.length("core") - F.length("lead")).alias("start"),
+        (F.col("end") - F.length("core") - F.length("lead")).alias("start"),
         F.length("lead").alias("n_repeated"), F.concat("lead", "core").alias("piece"),
     )
 
