@@ -1,4 +1,5 @@
 import base64
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -155,3 +156,36 @@ def test_spam(spark):
     df = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, odd_share double")
     assert {r.doc_id for r in prose.spam(df).collect()} == set(range(len(good), len(good) + len(bad)))
     assert prose.spam(df.limit(0)).count() == 0
+
+
+def test_spam_counts_every_distinct_text(spark):
+    rng = random.Random(4)
+    texts = [page(rng, 2) for _ in range(2500)] + ["Der Schlüssel ist noch in der Tür, und niemand hat ihn dort bis jetzt gesehen."]
+    copies = [t for t in texts for _ in range(3)]
+    once, thrice = (spark.createDataFrame(list(enumerate(x)), "doc_id long, text string") for x in (texts, copies))
+    want = {r.doc_id: (r.odd_share, r.bits) for r in prose.spam_scores(once).collect()}
+    got = {r.doc_id: (r.odd_share, r.bits) for r in prose.spam_scores(thrice).collect()}
+    assert len(got) == len(copies) and all(got[i] == pytest.approx(want[i // 3], abs=1e-9) for i in got)
+
+
+def test_spam_model_is_exact(spark):
+    rng = random.Random(5)
+    texts = [page(rng, 3) for _ in range(40)]
+    counts = [Counter(), Counter(), Counter()]
+    for t in set(texts):
+        for piece in re.split(r"(?<=\.) ", t):
+            s, content = prose.symbols(piece)
+            if prose._sentence(piece, s, content, False):
+                s = ["<", "<", *s, ">"]
+                for k in (1, 2, 3):
+                    counts[k - 1].update(tuple(s[i - k + 1 : i + 1]) for i in range(1 if k < 3 else 2, len(s)))
+    total = sum(counts[0].values())
+    df = spark.createDataFrame([*enumerate(texts), (99, "If the mirror is empty, the ledger falls back")], "doc_id long, text string")
+    s, bits = prose.symbols("If the mirror is empty, the ledger falls back")[0], 0.0
+    x = ["<", "<", *s, ">"]
+    for a, b, c in zip(x, x[1:], x[2:]):
+        p = (counts[0][c,] + 0.1) / (total + 100)
+        p = (counts[1][b, c] + 4 * p) / (counts[0][b,] + 4)
+        bits -= math.log2((counts[2][a, b, c] + 4 * p) / (counts[1][a, b] + 4))
+    got = {r.doc_id: r.bits for r in prose.spam_scores(df).collect()}
+    assert got[99] == pytest.approx(bits / (len(s) + 1))
