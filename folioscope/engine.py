@@ -37,10 +37,9 @@ def scan(
     all_ = all_.withColumn("kind", links.kind(F.col("url"))).withColumn("ignored", reason)
     inner = all_.where("ignored is null and kind in ('relative', 'absolute', 'anchor')")
     heads = markdown.headings(scanned)
-    checked = links.check_internal(inner.select("link_id", "doc_path", "base_path", "url"), files.select("path"), heads).select("link_id", "status", "error_message", "suggestion")
-    lost = checked.where("status = 'broken' and suggestion is null").select("link_id").join(inner.where("kind = 'anchor'").select("link_id", "doc_path", F.substring("url", 2, 1 << 30).alias("anchor")), "link_id")
-    near = links.suggest_anchors(lost, heads).withColumnRenamed("suggestion", "near")
-    checked = checked.join(near, "link_id", "left").withColumn("suggestion", F.coalesce("suggestion", "near")).drop("near")
+    checked = links.check_internal(inner.select("link_id", "doc_path", "base_path", "url"), files.select("path"), heads)
+    near = links.suggest_anchors(links.lost_anchors(checked), heads).withColumnRenamed("suggestion", "near")
+    checked = checked.join(near, "link_id", "left").select("link_id", "status", "error_message", F.coalesce("suggestion", "near").alias("suggestion"))
     urls = all_.where("ignored is null and kind = 'external'").select("url").distinct()
     nothing = urls.sparkSession.createDataFrame([], "url string, status string, status_code int, error string, ts timestamp, response_time double")
     live = caches.lookup(cache if cache is not None else nothing, urls, now if now is not None else F.current_timestamp(), ttl_hours)

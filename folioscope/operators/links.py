@@ -80,7 +80,8 @@ def check_internal(links: DataFrame, files: DataFrame, headings: DataFrame) -> D
     """Status, message and suggestion of relative, absolute and same-page links.
 
     ``links``: link_id, doc_path, base_path, url. A target exists if it is a file or directory, or with ``.md`` added. Anchors
-    are checked in the page itself and in other Markdown pages, not behind absolute links. Null urls give no rows.
+    are checked in the page itself and in other Markdown pages, not behind absolute links. Of an anchor that isn't there,
+    lost_page and lost_anchor say in which page it was looked for. Null urls give no rows.
     """
     base = links.where("url is not null").withColumn("kind", kind(F.col("url"))).where(F.col("kind").isin("relative", "absolute", "anchor"))
     base = base.withColumn("file", file_part(F.col("url"))).withColumn("anchor", F.nullif(anchor_part(F.col("url")), F.lit("")))
@@ -98,6 +99,7 @@ def check_internal(links: DataFrame, files: DataFrame, headings: DataFrame) -> D
         F.when(F.col("found").isNull() | lost, "broken").otherwise("ok").alias("status"),
         F.when(F.col("found").isNull(), F.concat(F.lit("File not found: "), "file")).when(lost, F.concat(F.lit("Anchor #"), "anchor", F.lit(" not found in "), "file")).alias("error_message"),
         F.when(F.col("found").isNull() & (F.col("kind") == "relative") & ~F.col("file").endswith(".md"), F.concat(F.lit("Did you mean "), "file", F.lit(".md?"))).alias("suggestion"),
+        F.when(lost, F.col("found")).alias("lost_page"), F.when(lost, F.col("anchor")).alias("lost_anchor"),
     )
     wide = anchor_rows(headings, True).withColumn("hit", F.lit(True))
     numbered = r"^(.+)-(\d+)$"
@@ -110,10 +112,17 @@ def check_internal(links: DataFrame, files: DataFrame, headings: DataFrame) -> D
         F.when(F.col("hit"), "ok").otherwise("broken").alias("status"),
         F.when(stale, F.concat(F.lit("Anchor #"), "anchor", F.lit(" not found (numbered anchor may be outdated)"))).when(F.col("hit").isNull(), F.concat(F.lit("Anchor #"), "anchor", F.lit(" not found"))).alias("error_message"),
         F.when(stale, F.concat(F.lit("Did you mean #"), "base", F.lit("?"))).alias("suggestion"),
+        F.when(F.col("hit").isNull(), F.col("doc_path")).alias("lost_page"), F.when(F.col("hit").isNull(), F.col("anchor")).alias("lost_anchor"),
     )
     return outside.unionByName(same)
 
 
+def lost_anchors(checked: DataFrame) -> DataFrame:
+    """(link_id, doc_path, anchor): anchors without a suggestion, of rows of ``check_internal``, with the page they should be in."""
+    lost = checked.where("lost_anchor is not null and suggestion is null")
+    return lost.select("link_id", F.col("lost_page").alias("doc_path"), F.col("lost_anchor").alias("anchor"))
+
+
 def suggest_anchors(broken: DataFrame, headings: DataFrame, least: float = 0.5) -> DataFrame:
     """(link_id, suggestion): the page's primary slug most like a broken anchor (doc_path, anchor), if more than ``least``.
 

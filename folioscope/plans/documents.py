@@ -74,7 +74,7 @@ def link_check(s, d):
 
 def link_broken(s, d):
     rows = _links(s, d).select("link_id", "doc_path", F.col("repo").alias("base_path"), "url")
-    return links.check_internal(rows, _files(s, d), _headings(s, d)).where("status = 'broken'")
+    return links.check_internal(rows, _files(s, d), _headings(s, d)).where("status = 'broken'").drop("lost_page", "lost_anchor")
 
 
 def anchor_slug(s, d):
@@ -90,9 +90,9 @@ def anchor_numbering(s, d):
 
 
 def anchor_suggest(s, d):
-    rows = _links(s, d).where("url like '#%'").select("link_id", "doc_path", F.col("repo").alias("base_path"), "url")
-    broken = links.check_internal(rows, _files(s, d), _headings(s, d)).where("status = 'broken' and suggestion is null")
-    return links.suggest_anchors(broken.select("link_id", "doc_path", F.substring("url", 2, 1 << 30).alias("anchor")), _headings(s, d))
+    rows = _links(s, d).select("link_id", "doc_path", F.col("repo").alias("base_path"), "url")
+    lost = links.lost_anchors(links.check_internal(rows, _files(s, d), _headings(s, d)))
+    return links.suggest_anchors(lost, _headings(s, d))
 
 
 def safe_anchor(s, d):

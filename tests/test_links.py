@@ -111,3 +111,15 @@ def test_similarity(spark):
     assert one(spark, similarity.code_similarity(F.lit(""), F.lit(""))) is None
     assert one(spark, similarity.normalise_code(F.lit("\n  # c\n x  \n\n// y\n z\n"))) == " x\n z"
     assert one(spark, similarity.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
+
+
+def test_suggestions_in_other_pages(spark):
+    from folioscope import engine
+
+    docs = spark.createDataFrame(
+        [("r/a.md", "r", "# Alpha\n\n[x](b.md#instal) [y](b#usag) [z](#alpa) [q](b.md#zzzzzz) [ok](b.md#usage) [f](/b.md#instal) [g](gone.md#usag)\n"), ("r/b.md", "r", "# Install\n\n# Usage\n")],
+        "doc_path string, base_path string, content string",
+    )
+    got = {r.text: (r.status, r.suggestion) for r in engine.scan(docs, docs.selectExpr("doc_path as path")).collect()}
+    assert got["x"] == ("broken", "Did you mean #install?") and got["y"] == ("broken", "Did you mean #usage?") and got["z"] == ("broken", "Did you mean #alpha?")
+    assert got["q"] == got["g"] == ("broken", None) and got["ok"] == got["f"] == ("ok", None)
