@@ -246,7 +246,7 @@ def chunk_greedy(s, d):
 
 
 def code_chunks(s, d):
-    files = table(s, d, "symbols").where("type = 'class' and code is not null").dropDuplicates(["code_id"])
+    files = table(s, d, "symbols").where("code is not null").dropDuplicates(["code_id"])
     ending = F.regexp_extract("file_path", r"(\.[^./]+)$", 1)
     return files.select("code_id", F.posexplode(semantic.code_chunks(F.col("code"), ending)).alias("ord", "chunk"))
 

@@ -182,3 +182,10 @@ def test_code_chunks(spark):
     df = spark.createDataFrame(data, "content string, ending string")
     got = [r.c for r in df.select(semantic.code_chunks(F.col("content"), F.col("ending")).alias("c")).collect()]
     assert got == [plain(*d) for d in data]
+
+
+def test_code_chunks_cover_every_symbol(spark, tiny):
+    from folioscope.plans import documents
+
+    want = {r.code_id for r in spark.read.parquet(f"{tiny}/symbols.parquet").where("code is not null").select("code_id").collect()}
+    assert {r.code_id for r in documents.code_chunks(spark, tiny).select("code_id").collect()} == want
