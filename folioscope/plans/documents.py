@@ -228,9 +228,9 @@ def code_normalize(s, d):
 
 
 def snippet_status(s, d):
-    """Snippets by file hint and by name; matching by content alone is for smaller sets, see the tests."""
+    """Snippets by file hint, by name and by content."""
     source = table(s, d, "symbols").dropDuplicates(["code_id"]).withColumnRenamed("code_id", "symbol_id")
-    return snippets.validate(_blocks(s, d), source, by_content=False).select("code_id", "status", F.round("similarity", 6).alias("similarity"), "strategy", "source_path")
+    return snippets.validate(_blocks(s, d), source).select("code_id", "status", F.round("similarity", 6).alias("similarity"), "strategy", "source_path")
 
 
 def snippet_counts(s, d):

@@ -123,3 +123,32 @@ def test_suggestions_in_other_pages(spark):
     got = {r.text: (r.status, r.suggestion) for r in engine.scan(docs, docs.selectExpr("doc_path as path")).collect()}
     assert got["x"] == ("broken", "Did you mean #install?") and got["y"] == ("broken", "Did you mean #usage?") and got["z"] == ("broken", "Did you mean #alpha?")
     assert got["q"] == got["g"] == ("broken", None) and got["ok"] == got["f"] == ("ok", None)
+
+
+def test_content_matching_is_exact(spark, tiny):
+    import difflib
+
+    from folioscope.plans import documents
+
+    s = spark.read.parquet(f"{tiny}/symbols.parquet").dropDuplicates(["code_id"]).where("code is not null")
+    source = {r.code_id: (r.c, (r.file_path.split("/"), r.ord)) for r in s.select("code_id", "file_path", "ord", similarity.normalise_code(F.col("code")).alias("c")).collect()}
+    b = spark.read.parquet(f"{tiny}/code_blocks.parquet").dropDuplicates(["code_id"]).where(r"code rlike '\\S' and coalesce(language, '') <> ''")
+    codes = {r.code_id: r.c for r in b.select("code_id", similarity.normalise_code(F.col("code")).alias("c")).collect()}
+    path = {r.code_id: r.file_path for r in s.collect()}
+    got = {r.code_id: r for r in documents.snippet_status(spark, tiny).collect()}
+    free = [i for i in codes if got[i].strategy in (None, "content")]
+    assert any(got[i].strategy == "content" for i in free)
+    for i in free:
+        x, best = codes[i], (0.0, None)
+        for k, (y, key) in source.items():
+            if x in y or y in x:
+                r = min(len(x), len(y)) / max(len(x), len(y), 1)
+            else:
+                m = difflib.SequenceMatcher(None, x, y)
+                r = m.ratio() if m.real_quick_ratio() >= 0.3 and m.quick_ratio() >= 0.3 else 0.0
+            if best[1] is None or (-r, key) < (-best[0], source[best[1]][1]):
+                best = (r, k)
+        if best[0] >= 0.3:
+            assert got[i].similarity == round(best[0], 6) and got[i].source_path == path[best[1]]
+        else:
+            assert got[i].status == "not_found"
