@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import anchors, paths, similarity
+from ..session import spread_join, stored
 
 # Status codes that are worth another attempt.
 RETRYABLE = (429, 502, 503, 504)
@@ -60,20 +61,28 @@ def inventory(files: DataFrame) -> DataFrame:
     return files.where("path is not null").select(F.explode(above).alias("path")).distinct()
 
 
-def anchor_rows(headings: DataFrame, wide: bool) -> DataFrame:
-    """(doc_path, anchor) that headings (doc_path, ord, text) give: variants and numbered repetitions of the primary slug.
+def anchor_flags(headings: DataFrame) -> DataFrame:
+    """(doc_path, anchor, narrow) that headings (doc_path, ord, text) give, each once.
 
-    ``wide`` adds, as for links within a page, numbered variants and the raw lower-cased text with hyphens for spaces.
+    ``narrow`` anchors, variants and numbered repetitions of the primary slug, count for links from anywhere; numbered
+    variants and the raw lower-cased text with hyphens for spaces count for links within a page only.
     """
     primary = headings.where("text is not null").withColumn("slug", anchors.slug(F.col("text")))
     repeat = primary.withColumn("k", F.row_number().over(Window.partitionBy("doc_path", "slug").orderBy("ord")) - 1)
     forms = anchors.variants(F.col("text"))
-    numbered = F.when(F.col("k") > 0, F.array(F.concat_ws("-", "slug", F.col("k").cast("string")))).otherwise(F.array().cast("array<string>"))
-    every = F.concat(forms, numbered)
-    if wide:
-        more = F.when(F.col("k") > 0, F.transform(forms, lambda v: F.concat_ws("-", v, F.col("k").cast("string")))).otherwise(F.array().cast("array<string>"))
-        every = F.concat(every, more, F.array(F.replace(F.lower("text"), F.lit(" "), F.lit("-"))))
-    return repeat.select("doc_path", F.explode(every).alias("anchor")).where("anchor <> ''").distinct()
+    repeated = lambda xs: F.when(F.col("k") > 0, xs).otherwise(F.array().cast("array<string>"))
+    number = lambda v: F.concat_ws("-", v, F.col("k").cast("string"))
+    narrow = F.concat(forms, repeated(F.array(number(F.col("slug")))))
+    wide = F.concat(repeated(F.transform(forms, number)), F.array(F.replace(F.lower("text"), F.lit(" "), F.lit("-"))))
+    marked = lambda xs, flag: F.transform(xs, lambda v: F.struct(v.alias("anchor"), F.lit(flag).alias("narrow")))
+    rows = repeat.select("doc_path", F.inline(F.concat(marked(narrow, True), marked(wide, False)))).where("anchor <> ''")
+    return rows.groupBy("doc_path", "anchor").agg(F.bool_or("narrow").alias("narrow"))
+
+
+def anchor_rows(headings: DataFrame, wide: bool) -> DataFrame:
+    """(doc_path, anchor) that headings give: all for links within a page (``wide``), or those that count from anywhere."""
+    rows = anchor_flags(headings)
+    return (rows if wide else rows.where("narrow")).select("doc_path", "anchor")
 
 
 def check_internal(links: DataFrame, files: DataFrame, headings: DataFrame) -> DataFrame:
@@ -83,38 +92,45 @@ def check_internal(links: DataFrame, files: DataFrame, headings: DataFrame) -> D
     are checked in the page itself and in other Markdown pages, not behind absolute links. Of an anchor that isn't there,
     lost_page and lost_anchor say in which page it was looked for. Null urls give no rows.
     """
-    base = links.where("url is not null").withColumn("kind", kind(F.col("url"))).where(F.col("kind").isin("relative", "absolute", "anchor"))
-    base = base.withColumn("file", file_part(F.col("url"))).withColumn("anchor", F.nullif(anchor_part(F.col("url")), F.lit("")))
+    url = F.col("url")
+    base = links.where("url is not null").select("link_id", "doc_path", "base_path", "url", kind(url).alias("kind")).where(F.col("kind").isin("relative", "absolute", "anchor"))
+    own = F.col("kind") == "anchor"
+    base = base.select(
+        "link_id", "doc_path", "url", "kind", file_part(url).alias("file"),
+        F.when(own, F.substring(url, 2, 1 << 30)).otherwise(F.coalesce(anchor_part(url), F.lit(""))).alias("anchor"),
+        F.coalesce(F.when(own, F.col("doc_path")).otherwise(target(F.col("doc_path"), F.col("base_path"), url)), F.lit("")).alias("target"),
+    )
+    # What doesn't depend on the link itself is settled once for each distinct kind, target and anchor.
+    keys = base.select("kind", "target", "anchor").distinct()
     have = inventory(files)
-    here = base.where(F.col("kind") == "anchor").select("link_id", "doc_path", F.substring("url", 2, 1 << 30).alias("anchor"))
-    away = base.where(F.col("kind") != "anchor").withColumn("target", target(F.col("doc_path"), F.col("base_path"), F.col("url")))
-    exact = have.select(F.col("path").alias("target"), F.lit(True).alias("exact"))
-    added = have.where(F.col("path").endswith(".md")).select(F.regexp_replace("path", r"\.md$", "").alias("target"), F.lit(True).alias("added"))
-    placed = away.join(exact, "target", "left").join(added, "target", "left").withColumn("found", F.when(F.col("exact"), F.col("target")).when(F.col("added"), F.concat("target", F.lit(".md"))))
-    narrow = anchor_rows(headings, False).select(F.col("doc_path").alias("found"), "anchor", F.lit(True).alias("hit"))
-    inside = placed.join(narrow, ["found", "anchor"], "left")
-    lost = (F.col("kind") == "relative") & F.col("anchor").isNotNull() & F.col("found").rlike(r"\.mdx?$") & F.col("hit").isNull()
-    outside = inside.select(
-        "link_id", "doc_path", "url",
-        F.when(F.col("found").isNull() | lost, "broken").otherwise("ok").alias("status"),
-        F.when(F.col("found").isNull(), F.concat(F.lit("File not found: "), "file")).when(lost, F.concat(F.lit("Anchor #"), "anchor", F.lit(" not found in "), "file")).alias("error_message"),
-        F.when(F.col("found").isNull() & (F.col("kind") == "relative") & ~F.col("file").endswith(".md"), F.concat(F.lit("Did you mean "), "file", F.lit(".md?"))).alias("suggestion"),
-        F.when(lost, F.col("found")).alias("lost_page"), F.when(lost, F.col("anchor")).alias("lost_anchor"),
+    exact = have.select(F.col("path").alias("target"), F.lit(True).alias("exact"), F.lit(None).cast("boolean").alias("added"))
+    added = have.where(F.col("path").endswith(".md")).select(F.regexp_replace("path", r"\.md$", "").alias("target"), F.lit(None).cast("boolean").alias("exact"), F.lit(True).alias("added"))
+    known = exact.unionByName(added).groupBy("target").agg(F.bool_or("exact").alias("exact"), F.bool_or("added").alias("added"))
+    found = F.when(own | F.col("exact"), F.col("target")).when(F.col("added"), F.concat("target", F.lit(".md")))
+    placed = keys.join(known, "target", "left").select("kind", "target", "anchor", found.alias("found"))
+    there = anchor_flags(headings).withColumnRenamed("doc_path", "found")
+    met = placed.join(there, ["found", "anchor"], "left")
+    lost = F.when(own, F.col("narrow").isNull()).otherwise((F.col("kind") == "relative") & (F.col("anchor") != "") & F.col("found").rlike(r"\.mdx?$") & ~F.coalesce("narrow", F.lit(False)))
+    met = met.select("kind", "target", "anchor", "found", F.coalesce(lost, F.lit(False)).alias("lost"))
+    met = met.withColumn("base", F.when(own & F.col("lost"), F.regexp_extract("anchor", r"^(.+)-(\d+)$", 1)))
+    bases = there.select("found", F.col("anchor").alias("base"), F.lit(True).alias("has_base"))
+    state = met.join(bases, ["found", "base"], "left").select("kind", "target", "anchor", "found", "lost", F.when(F.col("has_base"), F.col("base")).alias("stale"))
+    rows = spread_join(base, state, ["kind", "target", "anchor"])
+    absent, gone = F.col("found").isNull(), F.col("lost")
+    message = (
+        F.when(absent, F.concat(F.lit("File not found: "), "file"))
+        .when(gone & ~own, F.concat(F.lit("Anchor #"), "anchor", F.lit(" not found in "), "file"))
+        .when(gone & F.col("stale").isNotNull(), F.concat(F.lit("Anchor #"), "anchor", F.lit(" not found (numbered anchor may be outdated)")))
+        .when(gone, F.concat(F.lit("Anchor #"), "anchor", F.lit(" not found")))
+    )
+    suggestion = (
+        F.when(absent & (F.col("kind") == "relative") & ~F.col("file").endswith(".md"), F.concat(F.lit("Did you mean "), "file", F.lit(".md?")))
+        .when(F.col("stale").isNotNull(), F.concat(F.lit("Did you mean #"), "stale", F.lit("?")))
     )
-    wide = anchor_rows(headings, True).withColumn("hit", F.lit(True))
-    numbered = r"^(.+)-(\d+)$"
-    own = here.join(wide, ["doc_path", "anchor"], "left").withColumn("base", F.regexp_extract("anchor", numbered, 1))
-    bases = wide.select("doc_path", F.col("anchor").alias("base"), F.lit(True).alias("has_base"))
-    own = own.join(bases, ["doc_path", "base"], "left")
-    stale = F.col("hit").isNull() & F.col("has_base")
-    same = own.select(
-        "link_id", "doc_path", F.concat(F.lit("#"), "anchor").alias("url"),
-        F.when(F.col("hit"), "ok").otherwise("broken").alias("status"),
-        F.when(stale, F.concat(F.lit("Anchor #"), "anchor", F.lit(" not found (numbered anchor may be outdated)"))).when(F.col("hit").isNull(), F.concat(F.lit("Anchor #"), "anchor", F.lit(" not found"))).alias("error_message"),
-        F.when(stale, F.concat(F.lit("Did you mean #"), "base", F.lit("?"))).alias("suggestion"),
-        F.when(F.col("hit").isNull(), F.col("doc_path")).alias("lost_page"), F.when(F.col("hit").isNull(), F.col("anchor")).alias("lost_anchor"),
+    return rows.select(
+        "link_id", "doc_path", "url", F.when(absent | gone, "broken").otherwise("ok").alias("status"), message.alias("error_message"), suggestion.alias("suggestion"),
+        F.when(gone, F.col("found")).alias("lost_page"), F.when(gone, F.col("anchor")).alias("lost_anchor"),
     )
-    return outside.unionByName(same)
 
 
 def lost_anchors(checked: DataFrame) -> DataFrame:
@@ -126,12 +142,15 @@ def lost_anchors(checked: DataFrame) -> DataFrame:
 def suggest_anchors(broken: DataFrame, headings: DataFrame, least: float = 0.5) -> DataFrame:
     """(link_id, suggestion): the page's primary slug most like a broken anchor (doc_path, anchor), if more than ``least``.
 
-    Ties go to the smaller slug. A page's slugs meet only that page's anchors.
+    Ties go to the smaller slug. Each distinct anchor of a page meets that page's slugs once, and a sequence matcher runs
+    only where lengths and letters in common leave room for more than ``least``.
     """
     slugs = headings.where("text is not null").select("doc_path", anchors.slug(F.col("text")).alias("slug")).where("slug <> ''").distinct()
-    met = broken.join(slugs, "doc_path").withColumn("ratio", similarity.ratio(F.lower("anchor"), F.lower("slug")))
-    best = met.groupBy("link_id").agg(F.min_by("slug", F.struct((-F.col("ratio")).alias("r"), "slug")).alias("slug"), F.max("ratio").alias("ratio"))
-    return best.where(F.col("ratio") > least).select("link_id", F.concat(F.lit("Did you mean #"), "slug", F.lit("?")).alias("suggestion"))
+    broken = stored(broken.select("link_id", "doc_path", "anchor"))  # what finds them is computed once
+    asked = broken.select("doc_path", "anchor").distinct()
+    met = asked.join(slugs, "doc_path").withColumn("ratio", similarity.ratio_above(F.lower("anchor"), F.lower("slug"), least)).where("ratio is not null")
+    best = met.groupBy("doc_path", "anchor").agg(F.min_by("slug", F.struct((-F.col("ratio")).alias("r"), "slug")).alias("slug"))
+    return spread_join(broken, best, ["doc_path", "anchor"], "inner").select("link_id", F.concat(F.lit("Did you mean #"), "slug", F.lit("?")).alias("suggestion"))
 
 
 def probe_status(probes: DataFrame, retries: int = 2) -> DataFrame:
@@ -160,11 +179,9 @@ def repository_status(repo_code: Column, file_code: Column, has_path: Column) ->
 def with_cache(links: DataFrame, live: DataFrame) -> DataFrame:
     """Links with the columns cached_status and cached_code of a live cache (url, status, status_code), null where there is none.
 
-    Links are reduced to their distinct urls first, so a url that many links share meets the cache once.
+    ``live`` has one row per url. Urls that many links share are salted.
     """
-    urls = links.where("url is not null").select("url").distinct()
-    hits = urls.join(live.select("url", F.col("status").alias("cached_status"), F.col("status_code").alias("cached_code")), "url")
-    return links.join(hits, "url", "left")
+    return spread_join(links, live.select("url", F.col("status").alias("cached_status"), F.col("status_code").alias("cached_code")), ["url"])
 
 
 def counts(results: DataFrame, by: Sequence[str] = ("doc_path",)) -> DataFrame:

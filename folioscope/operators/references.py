@@ -1,8 +1,9 @@
 """References to records that do not exist: orphan foreign keys per row, and their counts per table and period.
 
 ``orphans`` is the general operator: a distributed left anti-join of the distinct non-null foreign keys against the
-parent keys, joined back to the rows. ``link_orphans`` is the same for links into a documentation tree, where the key is
-a resolved path plus an anchor and a parent exists only for a while.
+parent keys (``missing_keys``), joined back to the rows; ``orphan_counts`` counts them per table and period.
+``link_orphans`` does the same for links into a documentation tree, where the key is a resolved path plus an anchor and a
+parent exists only for a while.
 """
 
 from __future__ import annotations
@@ -11,12 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import anchors, paths
-from ..session import hot_keys
+from ..session import hot_keys, once
 
 #: Into how many salted copies a foreign key is divided, so that no single key fills a task.
 SALTS = 16
 
 
+def missing_keys(keyed: DataFrame, names: list[str], have: DataFrame) -> DataFrame:
+    """The distinct keys of ``keyed`` that ``have`` (the same columns, distinct, non-null) lacks: a left anti-join."""
+    return keyed.select(*names).distinct().join(have, names, "left_anti")
+
+
 def orphans(rows: DataFrame, keys: list[str], parents: DataFrame, parent_keys: list[str], salts: int = SALTS) -> DataFrame:
     """The rows of ``rows`` whose key, none of its parts null, is in no row of ``parents``; all columns and duplicates stay.
 
@@ -28,23 +34,29 @@ def orphans(rows: DataFrame, keys: list[str], parents: DataFrame, parent_keys: l
     mark = next(m for m in ("__", *(f"__{i}_" for i in range(len(taken) + 1))) if not any(c.startswith(m) for c in taken))
     names, salt_name = [f"{mark}k{i}" for i in range(len(keys))], f"{mark}salt"
     own = [F.col(f"`{c}`") for c in rows.columns]
-    salt = F.pmod(F.xxhash64(*([F.col(f"`{c}`") for c, t in rows.dtypes if t in _HASHABLE] or [F.lit(0)])), F.lit(salts))
+    salt = F.pmod(F.xxhash64(*([F.col(f"`{c}`") for c, t in rows.dtypes if t in _HASHABLE] or [F.lit(0)])), F.lit(salts)).cast("int")
     keyed = rows.select(*own, *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], salt.alias(salt_name))
     known = keyed.where(" and ".join(f"{n} is not null" for n in names))
     have = parents.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(parent_keys, names)]).dropna().distinct()
-    missing = known.select(*names, salt_name).distinct().join(have, names, "left_anti")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(salt_name)
+    missing = missing_keys(known, names, have).select(*names, copies)
     return known.join(missing, [*names, salt_name], "left_semi").select(*own)
 
 
 _HASHABLE = {"string", "int", "bigint", "double", "float", "boolean", "timestamp", "timestamp_ntz", "date", "smallint"}
 
 
-def orphan_counts(rows: DataFrame, lost: DataFrame, period: Column, table: str, by: list[str] = ()) -> DataFrame:
-    """Per table, ``by`` columns and period: number of rows and number of orphans among them."""
-    both = rows.select(*by, period.alias("period"), F.lit(0).alias("o")).unionByName(lost.select(*by, period.alias("period"), F.lit(1).alias("o")))
+def orphan_counts(rows: DataFrame, lost: DataFrame, period: Column, table: str, by: list[str] = (), more: dict[str, Column] | None = None) -> DataFrame:
+    """Per table, ``by`` columns and period: number of rows and of orphans among them, and of orphans that ``more`` conditions hold for.
+
+    Rows meet their orphans through a union, not a join. ``period`` is an expression over columns that both sides have.
+    """
+    more = more or {}
+    shape = lambda df, o: df.select(*by, period.alias("period"), F.lit(o).alias("o"), *[(c if o else F.lit(False)).alias(n) for n, c in more.items()])
     return (
-        both.groupBy(F.lit(table).alias("table_name"), *by, "period")
-        .agg(F.count_if(F.col("o") == 0).alias("n_rows"), F.sum("o").alias("n_orphans"))
+        shape(rows, 0).unionByName(shape(lost, 1))
+        .groupBy(F.lit(table).alias("table_name"), *by, "period")
+        .agg(F.count_if(F.col("o") == 0).alias("n_rows"), F.sum("o").alias("n_orphans"), *[F.count_if(n).alias(n) for n in more])
     )
 
 
@@ -71,7 +83,7 @@ def link_keys(links: DataFrame, distinct: bool = True) -> DataFrame:
         .where(page)
         .select("link_id", "repo", "status", "checked_ts", "anchor", target.alias("target"))
     )
-    return keys.dropDuplicates(["link_id"]) if distinct else keys
+    return once(keys, ["link_id"]) if distinct else keys
 
 
 def page_keys(pages: DataFrame) -> DataFrame:
@@ -91,54 +103,44 @@ def page_keys(pages: DataFrame) -> DataFrame:
 def link_orphans(links: DataFrame, pages: DataFrame, salts: int = SALTS) -> DataFrame:
     """Links in scope whose page or heading did not exist at ``checked_ts``: link_id, repo, status, checked_ts, target, anchor, reason.
 
-    The foreign keys are reduced to the distinct (target, anchor, time) first; a parent row counts if it was added by
-    then and not yet deleted. The page of the exact path is preferred to that of the path plus ``.md``; the anchor has to
-    be in a row of the preferred page. ``reason`` is ``page`` or ``anchor``. A link without ``checked_ts`` meets no page.
+    The foreign keys are the distinct (target, anchor, time). Which of them existed is settled against the pages that
+    lived by then: the page of the exact path is preferred to that of the path plus ``.md``, and the anchor has to be in a
+    row of the preferred page. The others are what a left anti-join leaves, and are joined back to their rows. ``reason``
+    is ``page`` or ``anchor``. A link without ``checked_ts`` meets no page.
     """
     hot = hot_keys(link_keys(links, distinct=False), "target")
     links = link_keys(links)
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("link_id"), F.lit(salts))).otherwise(0).cast("int")
     keyed = links.join(hot, "target", "left").withColumn("salt", salt).drop("hot")
-    wanted = keyed.select("target", "anchor", "checked_ts", "salt").where("target is not null").distinct()
+    # As texts without nulls, so that a key without an anchor or a time can be compared.
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    key = ["target", "salt", "anchor", "at"]
+    keyed = keyed.select(*[c for c in keyed.columns if c not in ("target", "anchor")], text("target").alias("target"), text("anchor").alias("anchor"), text("checked_ts").alias("at"))
+    wanted = keyed.select(*key, "checked_ts").distinct()
     copies = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     parents = page_keys(pages).withColumnRenamed("key", "target").join(hot, "target", "left").withColumn("salt", copies).drop("hot")
     alive = (F.col("added_ts") <= F.col("checked_ts")) & (F.col("deleted_ts").isNull() | (F.col("deleted_ts") > F.col("checked_ts")))
-    hit = F.col("anchor").isNull() | anchors.has_anchor(F.col("slugs"), F.col("anchor"))
+    hit = (F.col("anchor") == "") | anchors.has_anchor(F.col("slugs"), F.col("anchor"))
     state = (
         wanted.join(parents, ["target", "salt"])
         .where(alive)
-        .select("target", "salt", "anchor", "checked_ts", "rank", hit.alias("hit"))
-        .groupBy("target", "salt", "anchor", "checked_ts")
+        .select(*key, "rank", hit.alias("hit"))
+        .groupBy(*key)
         .agg(F.min("rank").alias("rank"), F.bool_or(F.when(F.col("rank") == 0, F.col("hit"))).alias("h0"), F.bool_or(F.when(F.col("rank") == 1, F.col("hit"))).alias("h1"))
-        .select(F.col("target").alias("__g"), F.col("salt").alias("__s"), F.col("anchor").alias("__a"), F.col("checked_ts").alias("__t"), F.when(F.col("rank") == 0, F.col("h0")).otherwise(F.col("h1")).alias("hit"))
-    )
-    same = (F.col("target") == F.col("__g")) & (F.col("salt") == F.col("__s")) & F.col("anchor").eqNullSafe(F.col("__a")) & (F.col("checked_ts") == F.col("__t"))
-    found = keyed.join(state, same, "left")
-    return found.where("hit is null or not hit").select(
-        "link_id", "repo", "status", "checked_ts", "target", "anchor", F.when(F.col("hit").isNull(), "page").otherwise("anchor").alias("reason")
+        .select(*key, F.when(F.col("rank") == 0, F.col("h0")).otherwise(F.col("h1")).alias("hit"))
     )
+    lost = missing_keys(wanted, key, state.where("hit").select(*key))
+    reasons = lost.join(state.where("not hit").select(*key, F.lit("anchor").alias("reason")), key, "left").withColumn("reason", F.coalesce("reason", F.lit("page")))
+    back = keyed.join(reasons, key)
+    return back.select("link_id", "repo", "status", "checked_ts", F.nullif("target", F.lit("")).alias("target"), F.nullif("anchor", F.lit("")).alias("anchor"), "reason")
 
 
 def link_orphan_report(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Per repo and month of ``checked_ts``: links in scope, orphans by reason, and what ``status`` had claimed of the orphans.
-
-    Links are joined with their orphans through a union, not a join: an orphan is the same row with a flag.
-    """
-    lost = link_orphans(links, pages)
-    month = F.date_format("checked_ts", "yyyy-MM").alias("month")
-    rows = link_keys(links).select("repo", month, F.lit(1).alias("n"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("status"))
-    bad = lost.select("repo", month, F.lit(0).alias("n"), "reason", F.coalesce("status", F.lit("none")).alias("status"))
-    known = ["ok", "cached", "skipped"]
-    return (
-        rows.unionByName(bad)
-        .groupBy("repo", "month")
-        .agg(
-            F.sum("n").alias("n_links"),
-            F.count("reason").alias("n_orphans"),
-            F.count_if(F.col("reason") == "page").alias("n_page"),
-            F.count_if(F.col("reason") == "anchor").alias("n_anchor"),
-            F.count_if(F.col("status").isin(known)).alias("n_claimed_fine"),
-            F.count_if(F.col("status") == "broken").alias("n_claimed_broken"),
-            F.count_if(F.col("status") == "none").alias("n_unclaimed"),
-        )
-    )
+    """Per repo and month of ``checked_ts``: links in scope, orphans by reason, and what ``status`` had claimed of the orphans."""
+    status = F.coalesce("status", F.lit("none"))
+    more = {
+        "n_page": F.col("reason") == "page", "n_anchor": F.col("reason") == "anchor", "n_claimed_fine": status.isin("ok", "cached", "skipped"),
+        "n_claimed_broken": status == "broken", "n_unclaimed": status == "none",
+    }
+    out = orphan_counts(link_keys(links), link_orphans(links, pages), F.date_format("checked_ts", "yyyy-MM"), "link_results", ["repo"], more)
+    return out.select("repo", F.col("period").alias("month"), F.col("n_rows").alias("n_links"), "n_orphans", *more)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import anchors, globs, paths, similarity
 from ..operators import fixes, links, owners, reports, semantic, snippets, symbols
-from ..session import checkpoint_dir, table
+from ..session import checkpoint_dir, table, temporary
 from ..sources import caches, markdown
+from ..sources.store import KeyedTable
 from ..streaming import caches as streams
 from .sql import path_sql, slug_sql
 
@@ -292,14 +293,69 @@ def vector_count(s, d):
     return table(s, d, "vectors").agg(F.count_distinct("id").alias("n"))
 
 
-def stream_cache_upsert(s, d):
-    """The latest status of each url, merged micro-batch by micro-batch from a stream of the table's file."""
+def _folder(s: SparkSession, what: str) -> str:
+    """A new folder beside the checkpoints, for a table that a query writes."""
     import uuid
 
-    at = f"{checkpoint_dir(s).rstrip('/')}/folioscope-stream-{uuid.uuid4().hex}"
-    source = s.readStream.schema(table(s, d, "link_status").schema).parquet(f"{d.rstrip('/')}/link_status.parque[t]")  # a glob: one file or a folder of them
-    streams.upsert_stream(source.where("ts is not null").select("url", "status", "ts", "status_id"), f"{at}/table", ["url"], "ts", f"{at}/checkpoint").awaitTermination()
-    return s.read.parquet(f"{at}/table").select("url", "ts")
+    return temporary(s, f"{checkpoint_dir(s).rstrip('/')}/folioscope-{what}-{uuid.uuid4().hex}")
+
+
+def stream_cache_upsert(s, d):
+    """The latest status of each url, merged micro-batch by micro-batch: the table comes as a stream of four files, one at a time."""
+    at = _folder(s, "stream")
+    rows = table(s, d, "link_status").where("ts is not null").select("url", "status", "ts", "status_id")
+    rows.repartition(4, "status_id").write.parquet(f"{at}/source")
+    source = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/source")
+    kept = KeyedTable(s, f"{at}/table", ["url"], ["ts", "status_id"])
+    streams.upsert_stream(source, kept, f"{at}/checkpoint").awaitTermination()
+    return kept.read().select("url", "status", "ts")
+
+
+def stream_reindex(s, d):
+    """An index of page hashes kept up to date by a stream of pages, starting from what the embedding cache knows."""
+    at = _folder(s, "reindex")
+    index = KeyedTable(s, f"{at}/index", ["doc_path"])
+    known = table(s, d, "embedding_cache").where("file_type = 'doc' and content_hash is not null").groupBy(F.col("path").alias("doc_path")).agg(F.max("content_hash").alias("content_hash"))
+    index.upsert(known.select("doc_path", "content_hash", F.lit(False).alias("renewed")))
+    pages = _pages(s, d).select("doc_path", "content")
+    pages.repartition(3, "doc_path").write.parquet(f"{at}/source")
+    source = s.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/source")
+    make = lambda changed: changed.select("doc_path", "content_hash", F.lit(True).alias("renewed"))
+    streams.reindex_stream(source, index, make, f"{at}/checkpoint").awaitTermination()
+    return index.read()
+
+
+def _vectors(s, d) -> KeyedTable:
+    """The vector store: the latest row of each id, in a table of its own."""
+    store = KeyedTable(s, f"{_folder(s, 'vectors')}/table", ["id"], ["ts", "metadata"], 16)
+    store.upsert(table(s, d, "vectors").select("id", "ts", "metadata", "embedding"))
+    return store
+
+
+def _stored_ids(s, d, kind: str) -> DataFrame:
+    return table(s, d, "vectors").where(F.get_json_object("metadata", "$.type") == kind).select("id")
+
+
+def vector_get(s, d):
+    """The stored vectors of ids that were ever those of a class."""
+    return _vectors(s, d).get(_stored_ids(s, d, "class")).select("id", "ts", F.size("embedding").alias("n"))
+
+
+def vector_delete(s, d):
+    """What stays when the vectors of all methods are deleted by id."""
+    store = _vectors(s, d)
+    store.delete(_stored_ids(s, d, "method"))
+    return store.read().select("id", "ts")
+
+
+def cache_clear(s, d):
+    """A cleared cache takes entries again: what it holds after it was filled, cleared and given the broken ones."""
+    cache = KeyedTable(s, f"{_folder(s, 'cache')}/table", ["url"], ["ts", "status_id"], 16)
+    rows = table(s, d, "link_status").select("url", "status", "ts", "status_id")
+    cache.upsert(rows)
+    cache.clear()
+    cache.upsert(rows.where("status = 'broken'"))
+    return cache.read()
 
 
 def symbol_lookup(s, d):
@@ -323,7 +379,7 @@ QUERIES = {
         apply_line_fix, json_report, markdown_report, owners_last_match, owner_group_counts, owner_filter, owner_distinct, cache_upsert,
         cache_lookup, cache_join, cache_stats, cache_cleanup, cache_broken_topn, incremental_index, md_headings, md_code_blocks, md_links,
         file_hint, snippet_symbols, code_normalize, snippet_status, snippet_counts, content_hash, chunk_greedy, code_chunks, mean_pool,
-        cosine_topk, l2_search, typed_overfetch_search, orphaned_docs, missing_docs, vector_latest, vector_count, stream_cache_upsert,
+        cosine_topk, l2_search, typed_overfetch_search, orphaned_docs, missing_docs, vector_latest, vector_count, stream_cache_upsert, stream_reindex, vector_get, vector_delete, cache_clear,
         path_normalise, symbol_lookup, symbol_counts,
     )
 }
@@ -350,6 +406,7 @@ _OWNER = r"""case
   when regexp_matches(doc_path, '^[^/]*-cli(/.*)?$') then '@docs/everyone,@team/cli'
   else '@docs/everyone' end"""
 _UPSERT = "(select distinct on (url) * from (select distinct * from link_status) order by url, ts desc nulls last, status_id desc)"
+_VECTORS = "(select distinct on (id) * from vectors where id is not null order by id, ts desc nulls last, metadata desc nulls last)"
 _LIVE = f"ts > timestamp '{NOW}' - interval 1440 hours"
 _CHECK = f"""
 inv as (select distinct array_to_string(p[1:n], '/') as path from (select string_split(path, '/') as p, unnest(generate_series(1, len(string_split(path, '/')))) as n
@@ -405,6 +462,10 @@ SQL = {
     "symbol_lookup": "select distinct code_id, name from symbols where starts_with(name, 're') and type = 'method'",
     "symbol_counts": "select language, type, count(*) as n_symbols, count(distinct file_path) as n_files from (select distinct on (code_id) * from symbols) group by 1, 2",
     "vector_count": "select count(distinct id) as n from vectors",
-    "stream_cache_upsert": "select url, max(ts) as ts from link_status where ts is not null group by 1",
+    "stream_cache_upsert": "select url, status, ts from (select distinct on (url) * from link_status where ts is not null and url is not null order by url, ts desc, status_id desc)",
+    "stream_reindex": f"select coalesce(p.doc_path, c.path) as doc_path, coalesce(p.h, c.content_hash) as content_hash, coalesce(p.h is distinct from c.content_hash and p.h is not null, false) as renewed from (select doc_path, left(sha256(content), 32) as h from {_PAGES}) p full join (select path, max(content_hash) as content_hash from embedding_cache where file_type = 'doc' and content_hash is not null group by 1) c on p.doc_path = c.path",
+    "vector_get": f"select id, ts, len(embedding)::int as n from {_VECTORS} where id in (select id from vectors where metadata::json ->> '$.type' = 'class')",
+    "vector_delete": f"select id, ts from {_VECTORS} where id not in (select id from vectors where metadata::json ->> '$.type' = 'method')",
+    "cache_clear": "select distinct on (url) url, status, ts, status_id from link_status where status = 'broken' and url is not null order by url, ts desc nulls last, status_id desc",
     "path_normalise": f"select link_id, {path_sql(_DIR, 'f')} as path from (select *, split_part(url, '#', 1) as f from {_L} where url is not null and not contains(url, ':') and url <> '' and url not like '#%' and url not like '/%')",
 }

@@ -43,13 +43,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def temporary(spark: SparkSession, path: str) -> str:
+    """``path``, removed when the driver ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as a compressed table in the shared checkpoint folder and read from there; removed when the driver ends."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/folioscope-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = temporary(spark, f"{checkpoint_dir(spark).rstrip('/')}/folioscope-{uuid.uuid4().hex}")
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,6 +67,10 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if int(str(size)) <= limit else df
 
 
+def once(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: of rows that differ the least one, so that the choice doesn't depend on the order of rows."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*keys, *[F.col("__r")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 def hot_keys(df: DataFrame, key: str, most: int = 64) -> DataFrame:
@@ -73,6 +82,22 @@ def hot_keys(df: DataFrame, key: str, most: int = 64) -> DataFrame:
     return F.broadcast(counts.orderBy(F.desc("__n"), key).limit(most).select(key, F.lit(True).alias("hot")))
 
 
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
+    """``rows`` joined with ``side`` on ``keys``; the 64 most frequent keys of ``rows`` are salted, so none fills a task.
+
+    Salts are hashes of the rows themselves, so a task that runs again gives the same ones. ``side`` should be distinct by
+    its keys; its rows of hot keys are repeated ``salts`` times.
+    """
+    key = F.when(F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda x: x), F.xxhash64(*keys))
+    plain = [f"`{c}`" for c, t in rows.dtypes if "map<" not in t and "variant" not in t]
+    hot = hot_keys(rows.select(key.alias("__k")), "__k")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*plain), F.lit(salts))).otherwise(0).cast("int")
+    left = rows.withColumn("__k", key).join(hot, "__k", "left").withColumn("__salt", salt).drop("__k", "hot")
+    copies = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    right = side.withColumn("__k", key).join(hot, "__k", "left").withColumn("__salt", copies).drop("__k", "hot")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers of the session, once: they need not have it installed."""
     sc = spark.sparkContext

@@ -1,21 +1,25 @@
 """Keyed tables with a time stamp: lookups with a time to live, upserts, deletions, statistics.
 
-Tables are immutable: each write gives the new content, which ``replace`` puts in place of the old. "Now" is always a
-parameter, so results are reproducible.
+These are expressions over frames; ``store`` keeps such a table in a folder. "Now" is always a parameter, so results are
+reproducible.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _span(hours: float) -> Column:
+    """An interval of so many hours; fractions count, to the microsecond."""
+    return F.make_dt_interval(secs=F.lit(round(hours * 3600, 6)).cast("decimal(18,6)"))
+
+
 def lookup(cache: DataFrame, keys: DataFrame, now: Column, ttl_hours: float = 24, key: str = "url") -> DataFrame:
     """The live rows of ``cache`` for the distinct non-null ``keys``; a row exactly ``ttl_hours`` old is no longer live."""
-    live = cache.where(F.col("ts") > now - F.make_dt_interval(F.lit(0), F.lit(int(ttl_hours))))
+    live = cache.where(F.col("ts") > now - _span(ttl_hours))
     return live.join(keys.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_semi")
 
 
@@ -40,13 +44,13 @@ def upsert(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame
 
 def expired(cache: DataFrame, now: Column, ttl_hours: float = 24) -> tuple[DataFrame, DataFrame]:
     """What stays and what a clean-up deletes; a row exactly ``ttl_hours`` old stays (though it is no longer live)."""
-    old = F.col("ts") < now - F.make_dt_interval(F.lit(0), F.lit(int(ttl_hours)))
+    old = F.col("ts") < now - _span(ttl_hours)
     return cache.where(~old | F.col("ts").isNull()), cache.where(old)
 
 
 def statistics(cache: DataFrame, now: Column, ttl_hours: float = 24) -> DataFrame:
     """One row: total, valid, expired, ok, broken and the mean response time in milliseconds (0 without any)."""
-    live = F.col("ts") > now - F.make_dt_interval(F.lit(0), F.lit(int(ttl_hours)))
+    live = F.col("ts") > now - _span(ttl_hours)
     return cache.agg(
         F.count("*").alias("total"), F.count_if(live).alias("valid"), (F.count("*") - F.count_if(live)).alias("expired"),
         F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "broken").alias("broken"),
@@ -56,7 +60,7 @@ def statistics(cache: DataFrame, now: Column, ttl_hours: float = 24) -> DataFram
 
 def newest_broken(cache: DataFrame, now: Column, ttl_hours: float = 24, limit: int = 100) -> DataFrame:
     """The newest live broken entries, ``limit`` of them at most (the limit is the feature)."""
-    live = cache.where((F.col("status") == "broken") & (F.col("ts") > now - F.make_dt_interval(F.lit(0), F.lit(int(ttl_hours)))))
+    live = cache.where((F.col("status") == "broken") & (F.col("ts") > now - _span(ttl_hours)))
     return live.orderBy(F.desc("ts"), "url").limit(limit)
 
 
@@ -75,15 +79,3 @@ def content_hash(content: Column) -> Column:
 def symbol_id(path: Column, name: Column, line: Column) -> Column:
     """The first 16 hex digits of the SHA-256 of ``path:name:line``."""
     return F.left(F.sha2(F.concat_ws(":", path, name, line.cast("string")), 256), F.lit(16))
-
-
-def replace(spark: SparkSession, content: DataFrame, path: str) -> None:
-    """Write ``content`` beside ``path`` and move it into place, so that it may be computed from what ``path`` holds."""
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    content.write.parquet(fresh)
-    jvm = spark._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{fresh} could not be moved to {path}")

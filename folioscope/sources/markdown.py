@@ -219,10 +219,17 @@ def code_blocks(scanned: DataFrame) -> DataFrame:
     return rows.select("*", file_hint(F.col("code")).alias("file_hint"), snippet_symbols(F.col("code"), F.col("language")).alias("symbols"))
 
 
+# Comments that name a file, tried in this order.
+HINT_PATTERNS = [
+    r"(?://|#)\s*(?:File:\s*)?([^\s]+\.[a-zA-Z]+)",
+    r"/\*\s*(?:File:\s*)?([^\s]+\.[a-zA-Z]+)\s*\*/",
+    r"^(?://|#)\s*([\w/.-]+\.[a-zA-Z]+)",
+]
+
+
 def file_hint(code: Column) -> Column:
     """The first path with an ending in a ``//``, ``#`` or ``/* */`` comment of a snippet; null if there is none."""
-    forms = [r"(?://|#)\s*(?:File:\s*)?(\S+\.[a-zA-Z]+)", r"/\*\s*(?:File:\s*)?(\S+\.[a-zA-Z]+)\s*\*/", r"(?m)^(?://|#)\s*([\w/.-]+\.[a-zA-Z]+)"]
-    return F.coalesce(*[F.nullif(F.regexp_extract(code, f, 1), F.lit("")) for f in forms])
+    return F.coalesce(*[F.nullif(F.regexp_extract(code, f"(?m){p}", 1), F.lit("")) for p in HINT_PATTERNS])
 
 
 # What names a symbol in a snippet, by the languages that share it, in order.

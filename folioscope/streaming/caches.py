@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import caches
+from ..sources.store import KeyedTable
 
 
 def latest_by_key(stream: DataFrame, key: str, time: str = "ts", keep: tuple[str, ...] = ("status",), lateness: str | None = None) -> DataFrame:
@@ -30,13 +31,34 @@ def first_within(stream: DataFrame, key: str, time: str, ttl: str) -> DataFrame:
     return stream.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Merge every micro-batch into the table at ``path``: the latest row of each key by ``order`` stays."""
+def _each(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        old = spark.read.parquet(path) if os.path.exists(path.removeprefix("file://")) else None
-        rows = batch if old is None else old.unionByName(batch)
-        caches.replace(spark, caches.latest(rows, keys, [order]), path)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def upsert_stream(stream: DataFrame, table: KeyedTable, checkpoint: str, **trigger) -> StreamingQuery:
+    """Merge every micro-batch into ``table``: by its order the latest row of each key stays, however late it comes.
+
+    A micro-batch that is sent again after a failure is merged once.
+    """
+    return _each(stream, lambda batch, n: table.upsert(batch, n) and None, checkpoint, trigger)
+
+
+def reindex_stream(files: DataFrame, index: KeyedTable, make: Callable[[DataFrame], DataFrame], checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep ``index`` up to date with a stream of files (key, content and further columns).
+
+    Of each micro-batch only files whose content hash the index doesn't have are given to ``make``, which returns rows of
+    the index (key, content_hash and what is derived); files that are as they were cost a comparison of hashes. Of several
+    versions of one file in a micro-batch the largest by the index's order counts; null contents are left out.
+    """
+    key = index.keys[0]
+
+    def step(batch: DataFrame, n: int) -> None:
+        rows = batch.where(F.col("content").isNotNull() & F.col(key).isNotNull())
+        rows = caches.latest(rows, [key], [*index.order, "content"]).withColumn("content_hash", caches.content_hash(F.col("content")))
+        changed = rows
+        if index.exists():
+            known = index.get(rows).select(key, "content_hash")
+            changed = rows.join(known, [key, "content_hash"], "left_anti")
+        index.upsert(make(changed), n)
+
+    return _each(files, step, checkpoint, trigger)

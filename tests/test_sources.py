@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscope import engine
 from folioscope.operators import semantic
 from folioscope.sources import caches, code, markdown
+from folioscope.sources.store import KeyedTable
 from folioscope.streaming import caches as streams
 
 PAGE = """# One *two*
@@ -109,14 +110,78 @@ def test_streams(spark, tmp_path):
     for i, data in enumerate([[("a", "x", T(2025, 1, 1)), ("b", "x", T(2025, 1, 1))], [("a", "y", T(2025, 1, 2)), (None, "q", T(2025, 1, 2))], [("a", "old", T(2024, 1, 1))]]):
         spark.createDataFrame(data, kind).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
         source = spark.readStream.schema(kind).parquet(str(tmp_path / "in" / "*"))
-        streams.upsert_stream(source.where("url is not null"), str(tmp_path / "out"), ["url"], "ts", str(tmp_path / "ck")).awaitTermination()
-        assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-    assert rows(spark.read.parquet(str(tmp_path / "out")), "url", "status") == [("a", "y"), ("b", "x")]
+        table = KeyedTable(spark, f"file:{tmp_path}/out", ["url"], ["ts"], 4)
+        streams.upsert_stream(source.where("url is not null"), table, str(tmp_path / "ck")).awaitTermination()
+        assert table.read().count() == 2
+    assert rows(table.read(), "url", "status") == [("a", "y"), ("b", "x")]
     q = streams.latest_by_key(spark.readStream.schema(kind).parquet(str(tmp_path / "in" / "*")), "url").writeStream.format("memory").queryName("latest").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("latest"), "url", "status") == [("a", "y"), ("b", "x")]
 
 
+def test_store(spark, tmp_path):
+    t = KeyedTable(spark, f"file:{tmp_path}/t", ["k"], ["n"], 8)
+    frame = lambda data: spark.createDataFrame(data, "k string, n int, v string")
+    assert not t.exists()
+    t.upsert(frame([]))
+    assert t.read().count() == 0
+    t.upsert(frame([(f"k{i}", 1, "a") for i in range(40)] + [(None, 1, "x"), ("k1", 0, "older")]))
+    t.upsert(frame([("k1", 2, "b"), ("k2", 0, "late"), ("new", None, None)]))
+    assert rows(t.get(spark.createDataFrame([("k1",), ("k2",), ("new",), ("no",), (None,)], "k string"))) == [("k1", 2, "b"), ("k2", 1, "a"), ("new", None, None)]
+    t.delete(spark.createDataFrame([("k3",), ("no",)], "k string"))
+    assert t.read().count() == 40
+    assert t.upsert(frame([("k3", 5, "c")]), 7) and not t.upsert(frame([("k3", 6, "d")]), 7)
+    assert rows(t.get(spark.createDataFrame([("k3",)], "k string"))) == [("k3", 5, "c")]
+    # a write that dies before it publishes leaves the table as it was
+    publish, t._publish = t._publish, None
+    with pytest.raises(TypeError):
+        t.upsert(frame([("k3", 9, "lost")]))
+    t._publish = publish
+    assert t.read().where("v = 'lost'").count() == 0 and t.read().count() == 41
+    t.clear()
+    assert t.read().count() == 0
+    assert len(list((tmp_path / "t" / "_manifests").glob("*.json"))) <= 2
+    # equal keys of another integer type fall into the same bucket
+    n = KeyedTable(spark, f"file:{tmp_path}/n", ["id"], buckets=16)
+    n.upsert(spark.createDataFrame([(i, i) for i in range(30)], "id long, x int"))
+    n.upsert(spark.createDataFrame([(3, -1)], "id int, x int"))
+    assert n.read().count() == 30 and n.get(spark.createDataFrame([(3,)], "id int")).first().x == -1
+
+
+def test_reindex_stream(spark, tmp_path):
+    kind = "path string, content string"
+    index = KeyedTable(spark, f"file:{tmp_path}/index", ["path"])
+    made = []
+
+    def make(changed):
+        made.append({r.path for r in changed.collect()})
+        return changed.select("path", "content_hash")
+
+    for i, data in enumerate([[("a", "1"), ("b", "1"), ("n", None)], [("a", "1"), ("b", "2")], [("b", "2")]]):
+        spark.createDataFrame(data, kind).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+        source = spark.readStream.schema(kind).parquet(str(tmp_path / "in" / "*"))
+        streams.reindex_stream(source, index, make, str(tmp_path / "ck")).awaitTermination()
+    assert made == [{"a", "b"}, {"b"}, set()] and index.read().count() == 2
+
+
+def test_fractional_ttl(spark):
+    """An entry outlives a life of 0.0001 hours (0.36 s) by no more than that."""
+    from datetime import timedelta
+
+    at = T(2025, 1, 1)
+    cache = spark.createDataFrame([("a", at), ("b", at - timedelta(milliseconds=350)), ("c", at - timedelta(milliseconds=370))], "url string, ts timestamp")
+    now = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    assert rows(caches.lookup(cache, cache, now, 0.0001), "url") == [("a",), ("b",)]
+    half = spark.createDataFrame([("x", at - timedelta(minutes=10)), ("y", at - timedelta(minutes=31))], "url string, ts timestamp")
+    assert rows(caches.lookup(half, half, now, 0.5), "url") == [("x",)]
+    assert [df.count() for df in caches.expired(half, now, 0.5)] == [1, 1]
+
+
+def test_skipped_directories(spark):
+    files = spark.createDataFrame([(p,) for p in ("a/.eggs/x.py", "a/site-packages/x.py", ".ruff_cache/x.py", "vendor/x.go", "third_party/x.rs", "a/.env/x.py", "a/node_modules/b/x.js", "x.txt", "src/X.PY")], "file_path string")
+    assert {r.file_path for r in code.indexable(files).collect()} == {"vendor/x.go", "third_party/x.rs", "a/.env/x.py", "src/X.PY"}
+
+
 def test_chunks(spark):
     def plain(text, size):
         out, cur, n = [], [], 0
