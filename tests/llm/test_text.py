@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import math
 import random
 import re
@@ -7,6 +8,8 @@ from collections import Counter, defaultdict
 import pytest
 from conftest import rows
 
+import ordinary
+
 from folioscope.llm import bpe, chunks, mixing, prose, url_groups
 
 VOCABULARY = "/opt/tokenizers"
@@ -169,23 +172,65 @@ def test_spam_counts_every_distinct_text(spark):
 
 
 def test_spam_model_is_exact(spark):
+    """Bits equal those of plain counting: contexts of no to three classes and of two symbols, each with its back-off."""
     rng = random.Random(5)
-    texts = [page(rng, 3) for _ in range(40)]
-    counts = [Counter(), Counter(), Counter()]
+    texts = [page(rng, 3) for _ in range(120)]
+    cls = lambda x: int(prose._CLASS_OF[min(x, prose._KANA)])
+    start, end = prose._KIND["start"], prose._KIND["end"]
+
+    def steps(code):
+        x = [start] * 3 + code + [end]
+        for i in range(3, len(x)):
+            c = [cls(v) for v in x[: i + 1]]
+            yield ((), (c[i - 1],), (c[i - 2], c[i - 1]), (c[i - 3], c[i - 2], c[i - 1]), ("ids", x[i - 2], x[i - 1])), c[i]
+
+    counts = {}
     for t in set(texts):
+        if hashlib.sha256(t.encode()).digest()[0] < prose.HELD_OUT:
+            continue
         for piece in re.split(r"(?<=\.) ", t):
             s, content = prose.symbols(piece)
-            if prose._sentence(piece, s, content, False):
-                s = ["<", "<", *s, ">"]
-                for k in (1, 2, 3):
-                    counts[k - 1].update(tuple(s[i - k + 1 : i + 1]) for i in range(1 if k < 3 else 2, len(s)))
-    total = sum(counts[0].values())
-    df = spark.createDataFrame([*enumerate(texts), (99, "If the mirror is empty, the ledger falls back")], "doc_id long, text string")
-    s, bits = prose.symbols("If the mirror is empty, the ledger falls back")[0], 0.0
-    x = ["<", "<", *s, ">"]
-    for a, b, c in zip(x, x[1:], x[2:]):
-        p = (counts[0][c,] + 0.1) / (total + 100)
-        p = (counts[1][b, c] + 4 * p) / (counts[0][b,] + 4)
-        bits -= math.log2((counts[2][a, b, c] + 4 * p) / (counts[1][a, b] + 4))
+            if prose._sentence(piece, s, content):
+                for contexts, c in steps(s):
+                    for x in contexts:
+                        counts.setdefault(x, Counter())[c] += 1
+    line = "If the mirror is empty, the ledger falls back"
+    df = spark.createDataFrame([*enumerate(texts), (999, line)], "doc_id long, text string")
+    s, bits = prose.symbols(line)[0], 0.0
+    for contexts, c in steps(s):
+        p = 1 / len(prose._CLASSES)
+        for x in contexts:
+            if x in counts:
+                n, others = sum(counts[x].values()), 4 + len(counts[x])
+                w = max(prose.BACK_OFF, others / (n + others))
+                p = (1 - w) * counts[x][c] / n + w * p
+        bits -= math.log2(p)
     got = {r.doc_id: r.bits for r in prose.spam_scores(df).collect()}
-    assert got[99] == pytest.approx(bits / (len(s) + 1))
+    assert got[999] == pytest.approx(bits / (len(s) + 1), rel=1e-5)
+
+
+def test_ordinary_prose_of_other_sources(spark, tiny):
+    """A model of the test data leaves prose that it has never seen alone, in thirteen languages, and finds stuffing in others."""
+    table = prose.parsed(spark.read.parquet(f"{tiny}/documents.parquet"))
+    model, limits = prose.train(table)
+    good = [p for text in ordinary.PARAGRAPHS.values() for p in text.split("\n")]
+    assert len(good) >= 100
+    bad = [
+        "купить дешёвый телефон москва, купить телефон москва цена, телефон москва дешёвый купить, купить телефон цена москва, " * 6,
+        "дешёвые окна москва. окна москва купить. купить дешёвые окна москва. окна цена москва. " * 6,
+        "휴대폰 최저가 구매 서울 휴대폰 최저가 할인 구매 서울 휴대폰 구매 최저가 " * 8,
+        "Kaufen Sie billige Schuhe, denn billige Schuhe sind billige Schuhe, und wer billige Schuhe sucht, findet billige Schuhe. " * 5,
+        "手机 电脑 便宜 手机 优惠 电脑 便宜 手机 优惠 " * 12,
+        "\n".join(f"Товар {i} | красный | {i}90 руб" for i in range(40)),
+        "\n".join(f"[раздел {i}](https://пример.example/{i})" for i in range(30)),
+    ]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    found = {r.doc_id for r in prose.scored(prose.parsed(df), model, limits).where("odd_share > 0.5").collect()}
+    wrong = sorted(i for i in found if i < len(good))
+    assert len(wrong) <= 0.02 * len(good), [good[i] for i in wrong]
+    assert found >= set(range(len(good), len(good) + len(bad))), [bad[i - len(good)] for i in range(len(good), len(good) + len(bad)) if i not in found]
+
+
+def test_spam_abstains_without_prose(spark):
+    df = spark.createDataFrame([(1, "aaa bbb\n" * 40), (2, "kkk | lll | mmm\n" * 30), (3, None)], "doc_id long, text string")
+    assert prose.spam(df).count() == 0
