@@ -33,6 +33,11 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return validity.rates(table(spark, d, "code_blocks"), table(spark, d, "snippet_results"))
 
 
+def p2_errors(spark: SparkSession, d: str) -> DataFrame:
+    """All errors of the invalid blocks, the first of each being its cause."""
+    return validity.causes(table(spark, d, "code_blocks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Items that came out in pieces."""
     found = chunks.split_corpus(table(spark, d, "markdown_docs"), table(spark, d, "embedding_cache"))
@@ -94,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "p1_shared": p1_shared,
     "p2_found": p2_found,
     "p2_rates": p2_rates,
+    "p2_errors": p2_errors,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,

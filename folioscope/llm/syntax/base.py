@@ -4,10 +4,6 @@ from __future__ import annotations
 
 import re
 
-#: The most errors stored of one file.
-MOST_ERRORS = 50
-
-
 class Bad(Exception):
     """A syntax error: message and position."""
 
@@ -43,6 +39,7 @@ class Parser:
         self.k, self.v, self.p, self.n = tokens.kind, tokens.value, tokens.at, tokens.newline
         self.errors = list(tokens.errors)
         self.i = 0
+        self._closing: dict[int, int] | None = None
 
     # single tokens
     def fail(self, what: str):
@@ -81,8 +78,7 @@ class Parser:
                     self.i += 1
 
     def note(self, e: Bad) -> None:
-        if len(self.errors) < MOST_ERRORS:
-            self.errors.append((e.args[1], e.args[0]))
+        self.errors.append((e.args[1], e.args[0]))
 
     def recover(self, before: int, stop: tuple[str, ...]) -> None:
         self.i = max(self.i, before + 1) if self.k[self.i] != "eof" else self.i
@@ -100,6 +96,18 @@ class Parser:
                 depth -= 1
             self.i += 1
 
+    def closing(self, i: int) -> int:
+        """Where the bracket that opens at ``i`` is closed, or the end; found for all brackets in one pass."""
+        if self._closing is None:
+            self._closing, open_ = {}, []
+            for j, (k, v) in enumerate(zip(self.k, self.v)):
+                if k == "op":
+                    if v in ("(", "[", "{", "${"):
+                        open_.append(j)
+                    elif v in (")", "]", "}") and open_:
+                        self._closing[open_.pop()] = j
+        return self._closing.get(i, len(self.k) - 5)
+
     def listed(self, one, close: str, least: int = 0, trailing: bool = True) -> int:
         """Items separated by commas up to and including ``close``."""
         n = 0

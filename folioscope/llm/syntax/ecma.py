@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import Parser, Tokens, scan
+from .base import Bad, Parser, Tokens, scan
 
 # Reserved words.
 KEYWORDS = frozenset(
@@ -20,7 +20,7 @@ _PATTERN = re.compile(
     re.X | re.S,
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[A-Za-z]*")
-_BEFORE_VALUE = frozenset("( , = : [ ! & | ? { } ; + - * % ~ ^ < > => == != === !== <= >= && || ?? += -= *= /= %= ** ...".split())
+_BEFORE_VALUE = frozenset("( , = : [ ! & | ? { } ; + - * % ~ ^ < > => == != === !== <= >= && || ?? += -= *= /= %= ** **= <<= &= |= ^= &&= ||= ??= << ... ${".split())
 _WORDS_BEFORE_VALUE = frozenset("return typeof case in of delete void throw new else do instanceof await yield".split())
 
 
@@ -29,6 +29,8 @@ def tokenize(text: str) -> Tokens:
     tokens = Tokens()
     opened: list[int] = []  # depth of braces at which each open ${ } ends
     depth = [0]
+    rounds: list[bool] = []  # for each open round bracket, whether it holds the condition of a statement
+    condition = [False]  # whether the last one closed did
 
     def template(i: int, newline: bool, first: bool) -> int:
         j, n = i, len(text)
@@ -60,14 +62,20 @@ def tokenize(text: str) -> Tokens:
             return template(m.end(), newline, True)
         if kind == "op" and v[0] == "/":
             last, lk = (t.value[-1], t.kind[-1]) if t.value else (";", "op")
-            if lk == "op" and last in _BEFORE_VALUE or lk in ("kw", "id") and last in _WORDS_BEFORE_VALUE:
+            if lk == "op" and (last in _BEFORE_VALUE or last == ")" and condition[0]) or lk in ("kw", "id") and last in _WORDS_BEFORE_VALUE:
                 r = _REGEX.match(text, m.start())
                 if r is None:
                     t.errors.append((m.start(), "malformed regular expression"))
                     return None
                 t.add("num", "/", m.start(), newline)
                 return r.end()
-        if kind == "op" and v == "{":
+        if kind == "op" and v == "(":
+            before = t.value[-2:] if len(t.value) > 1 else ["", *t.value]
+            word = bool(t.kind) and t.kind[-1] == "kw" and before[-1] in ("if", "while", "for", "with") and before[0] != "."
+            rounds.append(word or before == ["for", "await"])
+        elif kind == "op" and v == ")":
+            condition[0] = bool(rounds) and rounds.pop()
+        elif kind == "op" and v == "{":
             depth[0] += 1
         elif kind == "op" and v == "}":
             if opened and opened[-1] == depth[0]:
@@ -96,6 +104,19 @@ class JavaScript(Parser):
     def __init__(self, text: str) -> None:
         super().__init__(tokenize(text))
         self.no_in = False
+        self.branch = False  # inside a conditional, up to its colon
+        self.in_function = False
+        self.awaits = True  # at the top of a module
+        self.yields = False
+
+    def inside_function(self, parse, awaits: bool, yields: bool) -> None:
+        """``parse`` a part of a function of this kind."""
+        saved = self.in_function, self.awaits, self.yields, self.no_in, self.branch
+        self.in_function, self.awaits, self.yields, self.no_in, self.branch = True, awaits, yields, False, False
+        try:
+            parse()
+        finally:
+            self.in_function, self.awaits, self.yields, self.no_in, self.branch = saved
 
     def file(self) -> None:
         self.many(self.statement)
@@ -158,6 +179,7 @@ class JavaScript(Parser):
     def variables(self) -> None:
         const = self.v[self.i] == "const"
         self.i += 1
+        self.valued = False
         while True:
             pattern = self.v[self.i] in ("{", "[")
             self.binding()
@@ -165,12 +187,13 @@ class JavaScript(Parser):
             self.annotation()
             if self.take("="):
                 self.assignment()
+                self.valued = True
             elif (const or pattern) and self.v[self.i] not in ("of", "in") and not self.ambient:
                 self.fail("a declaration without a value")
             if not self.take(","):
                 return
 
-    ambient = False
+    ambient = valued = False
 
     def binding(self) -> None:
         def element() -> None:
@@ -216,9 +239,17 @@ class JavaScript(Parser):
     def if_(self) -> None:
         self.i += 1
         self.bracketed()
-        self.statement()
+        self.embedded()
         if self.take("else"):
-            self.statement()
+            self.embedded()
+
+    def embedded(self, loop: bool = False) -> None:
+        """A statement that may not declare anything but, outside a loop, a plain function."""
+        k, v = self.k[self.i], self.v[self.i]
+        declares = v in ("class", "const") or v == "function" and (loop or self.v[self.i + 1] == "*")
+        if k == "kw" and declares and not (self.TYPES and v == "const" and self.v[self.i + 1] == "enum") or v == "let" and self.v[self.i + 1] == "[":
+            self.fail(f"a declaration with {v!r} needs a block")
+        self.statement()
 
     def bracketed(self) -> None:
         self.need("(")
@@ -232,8 +263,11 @@ class JavaScript(Parser):
         if not self.take(";"):
             if self.v[self.i] in ("var", "const") or self.v[self.i] == "let" and (self.k[self.i + 1] == "id" or self.v[self.i + 1] in ("[", "{")):
                 self.no_in = True
+                plain = self.v[self.i] == "var"
                 self.variables()
                 self.no_in = False
+                if self.valued and (self.v[self.i] == "of" or self.v[self.i] == "in" and not plain):
+                    self.fail("a loop variable with a value")
             else:
                 self.no_in = True
                 self.expression()
@@ -242,7 +276,7 @@ class JavaScript(Parser):
                 self.i += 1
                 self.expression()
                 self.need(")")
-                self.statement()
+                self.embedded(True)
                 return
             self.need(";")
         if self.v[self.i] != ";":
@@ -251,16 +285,16 @@ class JavaScript(Parser):
         if self.v[self.i] != ")":
             self.expression()
         self.need(")")
-        self.statement()
+        self.embedded(True)
 
     def while_(self) -> None:
         self.i += 1
         self.bracketed()
-        self.statement()
+        self.embedded(True)
 
     def do(self) -> None:
         self.i += 1
-        self.statement()
+        self.embedded(True)
         self.need("while")
         self.bracketed()
         self.take(";")
@@ -272,6 +306,8 @@ class JavaScript(Parser):
         self.end()
 
     def return_(self) -> None:
+        if not self.in_function:
+            self.note(Bad("'return' outside a function", self.p[self.i]))
         self.i += 1
         if self.v[self.i] not in (";", "}") and not self.n[self.i] and self.k[self.i] != "eof":
             self.expression()
@@ -411,15 +447,15 @@ class JavaScript(Parser):
                     self.listed(self.argument, ")")
 
     def function(self) -> None:
+        awaits = self.v[self.i - 1] == "async" and self.i > 0 and not self.n[self.i]
         self.need("function")
-        self.take("*")
+        yields = self.take("*")
         if self.k[self.i] == "id":
             self.i += 1
         elif not self.optional_name and self.v[self.i] != "(":
             self.fail("expected a name")
         self.optional_name = False
-        self.signature()
-        self.body()
+        self.inside_function(lambda: (self.signature(), self.body()), awaits, yields)
 
     def body(self) -> None:
         self.block()
@@ -462,9 +498,12 @@ class JavaScript(Parser):
             while self.take(","):
                 self.type()
         self.need("{")
+        outer, self.constructors = self.constructors, 0
         self.many(self.member, ("}",))
+        self.constructors = outer
         self.need("}")
 
+    constructors = 0
     inside = False
     MODIFIERS = ("static", "async", "get", "set", "accessor")
 
@@ -472,12 +511,15 @@ class JavaScript(Parser):
         if self.take(";"):
             return
         self.decorators()
+        first = self.i
         while self.v[self.i] in self.MODIFIERS and (self.v[self.i + 1] not in ("(", "=", ";", "}", ":", "?", "!", "<") and not (self.n[self.i + 1] and self.v[self.i] not in ("static", "get", "set", "public", "private", "protected"))):
             self.i += 1
         if self.v[self.i] == "{" and self.v[self.i - 1] == "static":
             self.block()
             return
-        self.take("*")
+        awaits = "async" in self.v[first : self.i]
+        yields = self.take("*")
+        builds = self.v[self.i] == "constructor" and "static" not in self.v[first : self.i]
         if self.TYPES and self.v[self.i] == "[" and self.k[self.i + 1] == "id" and self.v[self.i + 2] == ":":
             self.type_member()
             self.end()
@@ -486,11 +528,19 @@ class JavaScript(Parser):
         if self.TYPES:
             self.take("?") or self.take("!")
         if self.v[self.i] in ("(", "<"):
-            self.signature()
-            if self.v[self.i] != "{" and self.TYPES:
-                self.end()
-            else:
+
+            def method() -> None:
+                self.signature()
+                if self.v[self.i] != "{" and self.TYPES:
+                    self.end()
+                    return
+                if builds:
+                    self.constructors += 1
+                    if self.constructors > 1:
+                        self.note(Bad("a second constructor", self.p[self.i]))
                 self.body()
+
+            self.inside_function(method, awaits, yields)
             return
         self.annotation()
         if self.take("="):
@@ -522,10 +572,16 @@ class JavaScript(Parser):
             self.i += 1
             self.arrow()
             return "other"
-        if v in ("(", "<") and k == "op" and self.arrow_ahead() and self.attempt(self.arrow_head):
-            self.arrow_body()
-            return "other"
-        if v == "yield" and k == "id" and self.v[self.i + 1] not in self.ASSIGN and self.v[self.i + 1] not in (".", "=>"):
+        if v in ("(", "<") and k == "op" and self.arrow_ahead():
+            # In a conditional, "(b) : c => d" is an arrow function with a result type only if the colon follows it.
+            typed = v == "(" and self.branch and self.v[self.closing(self.i) + 1] == ":"
+            if typed:
+                if self.attempt(lambda: self.arrow_head() and (self.arrow_body(), self.v[self.i] == ":")[1]):
+                    return "other"
+            elif self.attempt(self.arrow_head):
+                self.arrow_body()
+                return "other"
+        if v == "yield" and k == "id" and self.yields and self.v[self.i + 1] not in self.ASSIGN and self.v[self.i + 1] not in (".", "=>"):
             self.i += 1
             self.take("*")
             if not self.n[self.i] and self.v[self.i] not in (")", "]", "}", ",", ";", ":") and self.k[self.i] != "eof":
@@ -546,18 +602,8 @@ class JavaScript(Parser):
         """Whether the bracket that opens here closes before '=>' (or, with types, ':')."""
         if self.v[self.i] == "<":
             return self.TYPES
-        depth, j = 0, self.i
-        while self.k[j] != "eof":
-            v = self.v[j]
-            if self.k[j] == "op":
-                if v in ("(", "[", "{", "${"):
-                    depth += 1
-                elif v in (")", "]", "}"):
-                    depth -= 1
-                    if depth == 0:
-                        return self.v[j + 1] == "=>" or self.TYPES and self.v[j + 1] == ":"
-            j += 1
-        return False
+        after = self.v[self.closing(self.i) + 1]
+        return after == "=>" or self.TYPES and after == ":"
 
     def arrow_head(self) -> bool:
         self.signature()
@@ -571,37 +617,46 @@ class JavaScript(Parser):
                 return False
         elif not self.arrow_head():
             return False
-        self.arrow()
+        self.arrow(True)
         return True
 
-    def arrow(self) -> None:
+    def arrow(self, awaits: bool = False) -> None:
         if self.n[self.i]:
             self.fail("a line end before '=>'")
-        self.arrow_body()
+        self.arrow_body(awaits)
 
-    def arrow_body(self) -> None:
+    def arrow_body(self, awaits: bool = False) -> None:
         self.need("=>")
         if self.v[self.i] == "{" and self.k[self.i] == "op":
-            saved, self.no_in = self.no_in, False
-            self.block()
-            self.no_in = saved
+            self.inside_function(self.block, awaits, False)
         else:
-            self.assignment()
+            no_in, branch = self.no_in, self.branch
+
+            def value() -> None:
+                self.no_in, self.branch = no_in, branch
+                self.assignment()
+
+            self.inside_function(value, awaits, False)
 
     def conditional(self) -> str:
         left = self.binary()
         if self.v[self.i] == "?" and self.k[self.i] == "op":
             self.i += 1
-            saved, self.no_in = self.no_in, False
-            self.assignment()
-            self.no_in = saved
+            saved, self.no_in, self.branch = (self.no_in, self.branch), False, True
+            try:
+                self.assignment()
+            finally:
+                self.no_in, self.branch = saved
             self.need(":")
             self.assignment()
             return "other"
         return left
 
     def binary(self, least: int = 0) -> str:
+        started = self.i
         left = self.unary()
+        signed = self.k[started] == "op" and self.v[started] in ("+", "-", "!", "~") or self.k[started] == "kw" and self.v[started] in ("typeof", "void", "delete")
+        mixed = ""  # the logical operator of this level, which doesn't go with ?? without brackets
         while True:
             op = self.v[self.i]
             rank = self.BINARY.get(op) if self.k[self.i] in ("op", "kw") else None
@@ -627,13 +682,35 @@ class JavaScript(Parser):
                 continue
             if rank is None or rank < least or op == "in" and self.no_in:
                 return left
+            if op == "**" and signed:
+                self.fail("a signed value before '**' needs brackets")
+            if op in ("??", "||", "&&"):
+                kind = "??" if op == "??" else "logical"
+                if mixed and mixed != kind:
+                    self.fail("'??' beside '&&' or '||' needs brackets")
+                mixed = kind
             self.i += 1
+            inner = self.i
             self.binary(rank if op in self.RIGHT else rank + 1)
+            if op == "??" and self.logical(inner):
+                self.fail("'??' beside '&&' or '||' needs brackets")
+            signed = False
             left = "other"
 
+    def logical(self, i: int) -> bool:
+        """Whether '&&' or '||' stands outside brackets in what has been parsed since ``i``."""
+        while i < self.i:
+            if self.k[i] == "op":
+                if self.v[i] in ("(", "[", "{", "${"):
+                    i = self.closing(i)
+                elif self.v[i] in ("&&", "||"):
+                    return True
+            i += 1
+        return False
+
     def unary(self) -> str:
         k, v = self.k[self.i], self.v[self.i]
-        if k == "op" and v in ("!", "~", "+", "-") or k == "kw" and v in ("typeof", "void", "delete") or v == "await" and k == "id" and not self.n[self.i + 1] and (self.k[self.i + 1] in ("id", "kw", "num", "str") and self.v[self.i + 1] not in ("in", "instanceof", "of") or self.v[self.i + 1] in ("(", "[", "{", "!", "+", "-")):
+        if k == "op" and v in ("!", "~", "+", "-") or k == "kw" and v in ("typeof", "void", "delete") or v == "await" and k == "id" and self.awaits and not self.n[self.i + 1] and (self.k[self.i + 1] in ("id", "kw", "num", "str") and self.v[self.i + 1] not in ("in", "instanceof", "of") or self.v[self.i + 1] in ("(", "[", "{", "!", "+", "-")):
             self.i += 1
             self.unary()
             return "other"
@@ -776,12 +853,12 @@ class JavaScript(Parser):
                 first = self.i
                 while self.v[self.i] in ("get", "set", "async") and self.v[self.i + 1] not in ("(", ",", ":", "}", "="):
                     self.i += 1
+                awaits = "async" in self.v[first : self.i]
                 starred = self.take("*")
                 plain = self.k[self.i] == "id"
                 self.key()
                 if self.v[self.i] in ("(", "<"):
-                    self.signature()
-                    self.body()
+                    self.inside_function(lambda: (self.signature(), self.body()), awaits, starred)
                 elif starred or self.i - first > 1 and self.v[first] in ("get", "set", "async") and self.v[first + 1] != "[" and first + 1 == self.i - 1 and self.v[self.i] != "(":
                     self.fail("expected a method")
                 elif self.take(":"):
@@ -929,18 +1006,39 @@ class TypeScript(JavaScript):
     STATEMENTS = JavaScript.STATEMENTS | {"enum": enum}
 
     # types
+    plain_extends = False  # in the right side of a conditional type, where another one needs brackets
+
     def type(self) -> None:
-        if self.v[self.i] in ("(", "<", "new") or self.v[self.i] == "abstract" and self.v[self.i + 1] == "new":
-            if self.attempt(self.function_type):
+        saved, self.plain_extends = self.plain_extends, False
+        try:
+            if self.function_type_ahead():
+                self.function_type()
                 return
-        self.union()
-        if self.v[self.i] == "extends" and not self.n[self.i]:
-            self.i += 1
             self.union()
-            self.need("?")
-            self.type()
-            self.need(":")
-            self.type()
+            if self.v[self.i] == "extends" and not self.n[self.i]:
+                self.i += 1
+                self.plain_extends = True
+                self.union()
+                self.plain_extends = False
+                self.need("?")
+                self.type()
+                self.need(":")
+                self.type()
+        finally:
+            self.plain_extends = saved
+
+    def function_type_ahead(self) -> bool:
+        """Whether a function or constructor type begins here: its bracket is followed by '=>'."""
+        v = self.v[self.i]
+        if v in ("<", "new") or v == "abstract" and self.v[self.i + 1] == "new":
+            return True
+        return v == "(" and self.k[self.i] == "op" and self.v[self.closing(self.i) + 1] == "=>"
+
+    def constraint(self) -> bool:
+        """What an inferred type extends, unless that begins a conditional type."""
+        self.need("extends")
+        self.union()
+        return self.plain_extends or self.v[self.i] != "?"
 
     def function_type(self) -> None:
         self.take("abstract")
@@ -965,9 +1063,16 @@ class TypeScript(JavaScript):
     def one_type(self) -> None:
         while self.v[self.i] in ("keyof", "readonly", "unique", "infer") and (self.k[self.i + 1] in ("id", "kw", "str") or self.v[self.i + 1] in ("(", "[", "{")):
             self.i += 1
+            if self.v[self.i - 1] == "infer" and self.k[self.i] == "id":
+                self.i += 1
+                if self.v[self.i] == "extends":
+                    self.attempt(self.constraint)
+                return
         k, v = self.k[self.i], self.v[self.i]
         if v == "(" and k == "op":
-            if not self.attempt(self.function_type):
+            if self.function_type_ahead():
+                self.function_type()
+            else:
                 self.i += 1
                 self.type()
                 self.need(")")

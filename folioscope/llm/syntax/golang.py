@@ -167,23 +167,23 @@ class Go(Parser):
             self.type()
 
     def parameters(self) -> None:
-        kinds = set()
+        kinds: list[str] = []
 
         def one() -> None:
             self.take("...") or self.type()
             if self.v[self.i - 1] == "...":
                 self.type()
-                kinds.add("type")
+                kinds.append("type")
             elif self.v[self.i] not in (",", ")"):
                 self.take("...")
                 self.type()
-                kinds.add("named")
+                kinds.append("named")
             else:
-                kinds.add("type" if self.k[self.i - 1] != "id" or self.v[self.i - 2] == "." else "either")
+                kinds.append("type" if self.k[self.i - 1] != "id" or self.v[self.i - 2] == "." else "either")
 
         self.need("(")
         self.listed(one, ")")
-        if {"named", "type"} <= kinds:
+        if "named" in kinds and ("type" in kinds or kinds[-1] == "either"):
             self.fail("named and unnamed parameters side by side")
 
     def type(self) -> None:

@@ -294,7 +294,7 @@ class Java(Parser):
             self.block()
         elif v == ";":
             self.i += 1
-        elif k == "kw" and v in self.STATEMENTS and not (v == "switch" and False):
+        elif k == "kw" and v in self.STATEMENTS:
             self.STATEMENTS[v](self)
         elif k == "id" and self.v[self.i + 1] == ":":
             self.i += 2

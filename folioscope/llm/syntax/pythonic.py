@@ -875,6 +875,8 @@ class Python(Parser):
         self.need("]")
         return "target" if fine else "other"
 
+    SETS = True
+
     def curly(self) -> str:
         if self.take("}"):
             return "other"
@@ -886,6 +888,8 @@ class Python(Parser):
             else:
                 self.starred()
                 this = "dict" if self.take(":") else "set"
+                if this == "set" and not self.SETS:
+                    self.fail("sets are not allowed")
                 if this == "dict":
                     self.expression()
             if kind not in (None, this):
@@ -909,7 +913,7 @@ class Python(Parser):
 class Starlark(Python):
     """Starlark; its restrictions on the top level are not applied."""
 
-    WORDS, FORMATTED = STARLARK, False
+    WORDS, FORMATTED, SETS = STARLARK, False, False
     AUGMENTED = frozenset("+= -= *= /= //= %= &= |= ^= >>= <<=".split())
     BINARY = {k: v for k, v in Python.BINARY.items() if k != "@"}
     SIMPLE = {"return": Python.returns, "pass": Python.nothing, "break": Python.nothing, "continue": Python.nothing}
@@ -938,6 +942,17 @@ class Starlark(Python):
                 self.fail("cannot assign to this expression")
             self.stars()
 
+    def atom(self) -> str:
+        if self.v[self.i] == "yield" and self.k[self.i] == "kw":
+            self.fail("'yield' is not allowed")
+        return super().atom()
+
+    def run(self) -> list[tuple[int, str]]:
+        for j, v in enumerate(self.v):
+            if v == ":=" and self.k[j] == "op":
+                self.note(Bad("':=' is not allowed", self.p[j]))
+        return super().run()
+
     def else_(self) -> None:
         super().else_()
 

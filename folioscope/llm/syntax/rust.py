@@ -199,7 +199,7 @@ class Rust(Parser):
             else:
                 if self.k[self.i] == "str":
                     self.i += 1
-                self.members()
+                self.members(self.foreign)
         elif v == "macro_rules" and self.v[self.i + 1] == "!":
             self.i += 2
             self.name()
@@ -215,11 +215,22 @@ class Rust(Parser):
             return False
         return True
 
-    def members(self) -> None:
+    def members(self, one=None) -> None:
         self.need("{")
-        self.many(self.item, ("}",))
+        self.many(one or self.item, ("}",))
         self.need("}")
 
+    def foreign(self) -> None:
+        """An item of an extern block, which may be safe or unsafe."""
+        self.attributes()
+        self.visibility()
+        if self.v[self.i] == "safe" and self.k[self.i] == "id" and self.v[self.i + 1] in ("fn", "static"):
+            self.i += 1
+        elif self.v[self.i] == "unsafe" and self.v[self.i + 1] == "static":
+            self.i += 1
+        if not self.itemish():
+            self.fail(f"expected an item instead of {self.v[self.i] or self.k[self.i]!r}")
+
     def tree_of_use(self) -> None:
         self.take("::")
         if self.take("{"):
@@ -334,6 +345,15 @@ class Rust(Parser):
             elif self.v[self.i] in ("{", ",", ">", "=", ";", "where", ")"):
                 return
             else:
+                if self.take("use"):
+                    self.need("<")
+                    while not self.take(">"):
+                        self.i += 1 if self.k[self.i] in ("id", "life") or self.v[self.i] == "Self" else self.fail("expected a captured name")
+                        if self.v[self.i] != ">":
+                            self.need(",")
+                    if not self.take("+"):
+                        return
+                    continue
                 bracket = self.take("(")
                 self.take("?") or self.take("~")
                 self.take("const")

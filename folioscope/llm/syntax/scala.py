@@ -45,8 +45,6 @@ def tokenize(text: str) -> Tokens:
                         depth -= 1
                         if depth == 0:
                             break
-                    elif text[j] == '"' and close == '"' and False:
-                        break
                     j += 1
                 i = j
             elif c == "$" and text[i + 1 : i + 2] == "$":
@@ -310,7 +308,7 @@ class Scala(Parser):
         def itself() -> bool:
             self.i += 1
             if self.take(":"):
-                self.type()
+                self.infix_type()
             return self.v[self.i] == "=>"
 
         if (self.k[self.i] == "id" or self.v[self.i] == "this") and self.attempt(itself):
@@ -389,8 +387,6 @@ class Scala(Parser):
                 self.type()
         elif k == "id" or v in ("this", "super"):
             self.i += 1
-            while self.v[self.i] == "_" and False:
-                pass
             while self.v[self.i - 1] == "_" and self.v[self.i] in ("<:", ">:"):
                 self.i += 1
                 self.type()
@@ -677,7 +673,7 @@ class Scala(Parser):
                 return False
         elif k != "id" or v == "_":
             return False
-        return not self.broken() or k == "op" and False
+        return not self.broken()
 
     def infix(self) -> str:
         """Operands and operators; all operators are names, so their precedence can't make a file invalid."""

@@ -2,7 +2,7 @@
 
 Expressions are parsed by precedence climbing; after an error the parser panics to the next statement and goes on, so
 that all errors of a block are stored, its first one as the cause. The parsers are in ``syntax``, one module a language.
-Equal codes of equal language are parsed once.
+A task parses equal codes of equal language once, as long as it remembers them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import once, ship
 from .syntax.ecma import JavaScript, TypeScript
 from .syntax.golang import Go
 from .syntax.java import Java
@@ -39,8 +39,10 @@ GRAMMARS = {
     "python": Python, "starlark": Starlark, "java": Java, "typescript": TypeScript, "javascript": JavaScript, "go": Go, "rust": Rust,
     "scala": Scala, "json": Json,
 }
-#: Python frames a parser may nest; deeper code is reported as such.
-NESTING = 20_000
+#: Python frames a parser may nest, at most. Code with brackets nested some 50,000 deep needs more, and is left undecided.
+NESTING = 1_000_000
+#: What ``errors`` reports instead of errors where it can't tell.
+UNDECIDED = "nested too deeply to decide"
 
 
 def language(column: Column) -> Column:
@@ -53,12 +55,14 @@ def errors(name: str, code: str) -> list[tuple[int, int, str]]:
     """(line, column, message) of all errors, in order; an empty list means that the code is a complete file."""
     if not code.strip() and name in ("json",):
         return [(1, 1, "no value")]
-    if sys.getrecursionlimit() < NESTING:
-        sys.setrecursionlimit(NESTING)
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, min(NESTING, 10_000 + 40 * len(code))))  # frames of Python are no frames of C
     try:
         found = GRAMMARS[name](code).run()
     except RecursionError:
-        return [(1, 1, "nested too deeply")]
+        return [(1, 1, UNDECIDED)]
+    finally:
+        sys.setrecursionlimit(limit)
     starts = [0] + [i + 1 for i, c in enumerate(code) if c == "\n"]
     places = [(bisect_right(starts, at) or 1, at, what) for at, what in found]
     return [(line, at - starts[line - 1] + 1, what) for line, at, what in places]
@@ -68,10 +72,11 @@ def checked(blocks: DataFrame) -> DataFrame:
     """One row per code_id with a language that has a grammar and a non-null code.
 
     Columns: code_id, repo, lang (canonical), valid, n_errors, first_line, first_error, errors (array of line, column,
-    message; at most 50 are stored). Blank code is a valid empty file, but for JSON and Go. Rows sent twice count once.
+    message; all of them, in order). Blank code is a valid empty file, but for JSON and Go. Rows sent twice count once.
+    ``valid`` is null for code that is nested too deeply to decide.
     """
     ship(blocks.sparkSession)
-    known = blocks.select("code_id", "repo", language(F.col("language")).alias("lang"), "code").where("lang is not null and code is not null and code_id is not null").dropDuplicates(["code_id"])
+    known = blocks.select("code_id", "repo", language(F.col("language")).alias("lang"), "code").where("lang is not null and code is not null and code_id is not null")
     kind = "code_id bigint, repo string, lang string, n_errors int, errors array<struct<line:int,column:int,message:string>>"
     item = pa.list_(pa.struct([("line", pa.int32()), ("column", pa.int32()), ("message", pa.string())]))
 
@@ -85,21 +90,28 @@ def checked(blocks: DataFrame) -> DataFrame:
                 if got is None:
                     got = [{"line": a, "column": b, "message": c} for a, b, c in errors(name, code)]
                     if len(seen) > 5000:
-                        seen.clear()
+                        seen.clear()  # copies that come later are parsed again
                     seen[key] = got
                 rows.append(got)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in rows], pa.int32()), pa.array(rows, item)], ["code_id", "repo", "lang", "n_errors", "errors"])
 
-    got = known.mapInArrow(run, kind)
+    # Texts are parsed where they are read; what is sent twice is made single afterwards, when it is small.
+    got = once(known.mapInArrow(run, kind), ["code_id"])
     first = F.try_element_at("errors", F.lit(1))
-    return got.select("code_id", "repo", "lang", (F.col("n_errors") == 0).alias("valid"), "n_errors", first["line"].alias("first_line"), first["message"].alias("first_error"), "errors")
+    return got.select("code_id", "repo", "lang", F.when(first["message"] == UNDECIDED, None).otherwise(F.col("n_errors") == 0).alias("valid"), "n_errors", first["line"].alias("first_line"), first["message"].alias("first_error"), "errors")
+
+
+def causes(blocks: DataFrame) -> DataFrame:
+    """Of each invalid block all its errors, one row each: code_id, lang, error_no (from 1; the first is the cause), line, column, message."""
+    bad = checked(blocks).where("not valid")
+    return bad.select("code_id", "lang", F.posexplode("errors").alias("n", "e")).select("code_id", "lang", (F.col("n") + 1).alias("error_no"), "e.line", "e.column", "e.message")
 
 
 def rates(blocks: DataFrame, results: DataFrame) -> DataFrame:
     """Per repo and language: blocks, invalid ones, their rate, and how many of these the earlier status had called valid.
 
     ``results`` (code_id, status) is pre-aggregated per code_id; a missing or null status claims nothing. Blocks without
-    a grammar aren't counted.
+    a grammar aren't counted; undecided ones count as blocks and not as invalid.
     """
     claims = results.where("code_id is not null").groupBy("code_id").agg(F.bool_or(F.col("status") == "valid").alias("claimed"))
     both = checked(blocks).select("code_id", "repo", "lang", "valid").join(claims, "code_id", "left")

@@ -97,3 +97,181 @@ def test_blocks(spark):
     rates = {(r.repo, r.lang): (r.n_blocks, r.n_invalid, r.invalid_rate, r.n_claimed_valid) for r in validity.rates(spark.createDataFrame(data, kind), claims).collect()}
     assert rates == {("r", "python"): (2, 1, 0.5, 1), (None, "go"): (1, 1, 1.0, 0)}
     assert validity.checked(spark.createDataFrame([], kind)).count() == 0
+
+
+VALID = {
+    "javascript": [
+        'if (a) /re/.test(b);',
+        'for (const x of y) /re/.test(x);',
+        'while(a) /b/.exec(c)',
+        'x ||= /a/;',
+        'x &&= /a/g',
+        'a = b / c / d',
+        '(a) / b / c',
+        'f(a) / 2 / 3',
+        'async function f(){ await y; for await (const x of y) {} }',
+        'const f = async () => await y',
+        'await x',
+        'function* g(){ yield 1; const x = yield* h() }',
+        'class A { constructor(){} static constructor(){} async m(){ await x } *g(){ yield 1 } get a(){return 1} }',
+        'a ? (b) : c',
+        'a ?? (b || c)',
+        '(a && b) ?? c',
+        '(-1) ** 2',
+        '2 ** -1',
+        'for (var x = 1 in y) ;',
+        'for (let x of y) {}',
+        'if (a) function f() {}',
+        'var yield_ = 1; var await_ = 2',
+        'x = {async *g(){ yield await y }, get b(){return 1}, async f(){await z}}',
+        'a || b && c',
+        'a ?? b ?? c',
+        'x = a ? b : c => d',
+        '`${a / b}` / 2',
+        'if (a) {} /re/.test(b)',
+        'a => { return 1 }',
+        '(a, b) => a / b',
+        'x = async (a) => { await a }; return_ = 1',
+        "(" * 5000 + "1" + ")" * 5000,
+        "[" * 5000 + "]" * 5000,
+        'label: for (;;) { break label }',
+        'let y = (function(){ return 1 })()',
+        'export default async function () { await 1 }',
+        'new Foo(function(){ return 1 })',
+        'class A { x = () => { return 1 } }',
+        'do x++; while (x < 5) y',
+        'let x = a ? (b, c) : d',
+    ],
+    "typescript": [
+        'type A<T> = T extends infer U extends string ? U : never',
+        'const x = a ? (b) : c => d',
+        'const x = a ? (b): c => d : e',
+        'type F = (a: string) => void',
+        'type G = ((a: number) => void) | null',
+        'type X = ((((((((((((((((((((((((((((((string))))))))))))))))))))))))))))))',
+        'type B<T> = T extends (infer U)[] ? U : never',
+        'class A { constructor(a: string); constructor(a: any) { } }',
+        'const f = (x: number): string => "a"',
+        'function f(this: Foo, x?: number): asserts x is number {}',
+        'type A = T extends (infer U extends number ? U : never) ? 1 : 2',
+        'abstract class A { abstract m(): void }',
+        'declare function f(): void; enum E { A = 1 }',
+        'type C = new (...args: any[]) => object',
+        'let a = x as unknown as (y: string) => void',
+        'const f = <T,>(x: T) => x',
+        'type P = { [K in keyof T]?: T[K] }',
+    ],
+    "scala": [
+        'trait X { self: Q => def f = 1 }',
+        'class A { this: B with C => val x = 1 }',
+        'trait X { self => def f = self }',
+        'object A { val f: Int => Int = x => x + 1 }',
+        'trait A { self: B[C] => }',
+    ],
+    "rust": [
+        'unsafe extern "C" { safe fn f(); pub unsafe fn g(); safe static X: i32; }',
+        'fn f<T>() -> impl Sized + use<T> { 1 }',
+        "fn f<'a, T>(x: &'a T) -> impl Sized + use<'a, T> { x }",
+        'extern "C" { fn f(); }',
+    ],
+    "go": [
+        'package p\nfunc f(a, b int, c string) {}',
+        'package p\nfunc f(int, string) {}',
+        'package p\nfunc f(a int, b ...string) (x, y int) { return }',
+        'package p\nfunc f(a, b pkg.T) {}',
+    ],
+    "starlark": [
+        'x = {}',
+        'x = {"a": 1, "b": lambda y: y}',
+        'x = {k: v for k, v in y}',
+        'x = [1, 2]',
+        'f(a = {1: 2})',
+    ],
+    "json": [
+        '{"a": [1, 2, {"b": null}]}',
+        '[]',
+        '1',
+        "[" * 5000 + "]" * 5000,
+    ],
+    "python": [
+        "x = " + "(" * 3000 + "1" + ")" * 3000,
+        'x = {1, 2}',
+        'y = (z := 1)',
+        'def f():\n    x = yield 1\n',
+    ],
+}
+
+INVALID = {
+    "javascript": [
+        '-1 ** 2',
+        'a ?? b || c',
+        'a || b ?? c',
+        'a && b ?? c',
+        'a ?? b && c',
+        'for (let x = 1 of y) {}',
+        'return 1',
+        'function f() { await y }',
+        'if (a) function* f() {}',
+        'class A { constructor(){} constructor(){} }',
+        'const f = () => await y',
+        'function f() { yield 1 }',
+        'x = a /',
+        'if (a) /re',
+        'for (let x = 1 in y) {}',
+        'while (a) class B {}',
+    ],
+    "typescript": [
+        'type A = T extends infer U extends',
+        'return 1',
+        'const x = a ? (b) : ',
+    ],
+    "go": [
+        'package p\nfunc f(a int, string) {}',
+    ],
+    "starlark": [
+        'x = yield 1',
+        'x = {1, 2}',
+        '(y := 1)',
+        'def f():\n    yield 1\n',
+    ],
+    "json": [
+        '{"a": }',
+        '[1 2]',
+        '[1,]',
+        '{"a":1,}',
+        '{a:1}',
+        '[1}',
+        '',
+    ],
+}
+
+
+def test_valid_forms():
+    for name, codes in VALID.items():
+        for code in codes:
+            assert errors(name, code) == [], (name, code[:80])
+
+
+def test_invalid_forms():
+    for name, codes in INVALID.items():
+        for code in codes:
+            assert errors(name, code), (name, code)
+
+
+def test_all_errors_are_stored():
+    assert len(errors("json", "[" + ",".join(["x"] * 500) + "]")) == 500
+    assert len(errors("java", "class A {\n" + "int = 1;\n" * 500 + "}")) == 500
+    assert len(errors("json", '{"a": 1, "b" 2, "c": [1, }, ], "d": q}')) > 1
+
+
+def test_depth_is_no_verdict(spark, monkeypatch):
+    monkeypatch.setattr(validity, "NESTING", 2000)
+    assert errors("javascript", "(" * 5000 + "1" + ")" * 5000) == [(1, 1, validity.UNDECIDED)]
+
+
+def test_causes(spark):
+    rows = [(1, "r", "json", "[1, x, y]"), (1, "r", "json", "[1, x, y]"), (2, "r", "json", "[1]"), (3, "r", "json", None), (None, "r", "json", "["), (4, "r", None, "[")]
+    df = spark.createDataFrame(rows, "code_id long, repo string, language string, code string")
+    got = sorted(tuple(r) for r in validity.causes(df).select("code_id", "error_no", "line", "column").collect())
+    assert got == [(1, 1, 1, 5), (1, 2, 1, 8)]
+    assert validity.causes(df.limit(0)).count() == 0
