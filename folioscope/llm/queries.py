@@ -23,6 +23,11 @@ def p1_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(spans.records(table(spark, d, "code_blocks"), table(spark, d, "symbols")))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of equal text and how many other classes each shares a stretch with, without writing out pairs."""
+    return spans.linked(spans.records(table(spark, d, "code_blocks"), table(spark, d, "symbols")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Blocks that aren't a complete, valid file of their language."""
     return validity.checked(table(spark, d, "code_blocks")).where("not valid").select("code_id")
@@ -97,6 +102,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_shared": p1_shared,
+    "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_rates": p2_rates,
     "p2_errors": p2_errors,

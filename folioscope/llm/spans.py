@@ -1,13 +1,19 @@
 """Long exact spans shared between records, by relative Lempel-Ziv parsing against every other record.
 
-Reference index: every record gives anchors, the windowed minima of the hashes of its ``k``-character strings, chosen so
-that any ``min_length`` characters contain one and that equal text gives equal anchors. Parsing: where an anchor of a
-record is found in a reference block, the factor is extended greedily from anchor to anchor for as long as the hashed
-text between them is the same; at both factor boundaries the characters themselves are compared, and what is at least
-``min_length`` characters long becomes a span. Anchors that very many records have are refined with more of the text
-around them, in the end to exact strings of ``min_length`` characters, before anything is paired.
-
-Records of equal text are one class with a smallest code_id; only one of a class is parsed.
+Reference index: every record is a reference block. It is indexed by anchors, the windowed minima of the hashes of its
+``k``-character strings, chosen so that any ``min_length`` characters contain one and that equal text gives equal anchors.
+
+Parsing: a document is read from left to right against each reference block that the index names for one of its anchors.
+Where an anchor is found in the block, a factor begins, and it is extended greedily, from anchor to anchor, for as long as
+the hashed text between them is the same (``factors_of``). At both boundaries of a factor the characters themselves are
+compared; what is then at least ``min_length`` characters long becomes a span. Of a document all factors against a block
+are kept, one for each offset between them, and not only the longest at a place: with the longest alone, records that
+share a shorter stretch of it would be lost.
+
+Anchors that very many records have are refined with more of the text around them, in the end to exact strings of
+``min_length`` characters, before anything is paired.
+
+Records of equal text are one class. A task parses one of a class, and texts are looked at again by one member each.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, small, stored
+from ..session import ship, small, spread_join, stored
 
 MIN_LENGTH = 120
 #: Characters of an anchor; the window is ``min_length - K + 1`` anchors wide.
@@ -153,7 +159,7 @@ def records(*tables: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, min_length: int = MIN_LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(code_id, cid) of each record of at least ``min_length`` characters, where equal texts have equal cid, and (cid, code).
+    """(code_id, cid) of each record of at least ``min_length`` characters, where equal texts have equal cid, and (code_id, cid, code).
 
     The class is a hash of the text; a SHA-256 beside it proves that no two texts share one, else another seed is taken.
     """
@@ -163,45 +169,87 @@ def classes(rows: DataFrame, min_length: int = MIN_LENGTH) -> tuple[DataFrame, D
         members = stored(long.select("code_id", cid, F.unhex(F.sha2("code", 256)).alias("sha")).distinct())
         if members.groupBy("cid").agg(F.min("sha").alias("x"), F.max("sha").alias("y")).where("x <> y").isEmpty():
             break
-    return members.select("code_id", "cid"), long.select(cid, "code")
+    return members.select("code_id", "cid"), long.select("code_id", cid, "code")
+
 
+def factors_of(a: np.ndarray, b: np.ndarray, shift: np.ndarray, pa: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Where factors begin among the places at which document ``a`` meets block ``b``, in order of a, b, shift and place.
+
+    ``gap`` is the distance to the next anchor where the text up to its end is the same on both sides, else 0. The parse
+    goes on with a factor as long as the next place is where the one before said it would be.
+    """
+    begins = np.ones(len(a), bool)
+    begins[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (shift[1:] != shift[:-1]) | (gap[:-1] == 0) | (pa[:-1] + gap[:-1] != pa[1:])
+    return begins
 
-def spans(texts: DataFrame, min_length: int = MIN_LENGTH, k: int = K, cold: int = COLD, whole: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """(factors, strings): where the classes of (cid, code) share text.
+
+def parsed(met: DataFrame) -> DataFrame:
+    """Factors (a, b, shift, first, last) of (a, b, shift, pa, gap): each document parsed against each block it meets."""
+    names = ["a", "b", "shift", "first", "last"]
+
+    def run(batches):
+        held = None  # the factor that may go on in the next batch: a, b, shift, first, last place, its gap
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, shift, pa_, gap = (batch.column(i).to_numpy() for i in range(5))
+            first = pa_
+            if held is not None:
+                a, b, shift, pa_, gap = (np.insert(x, 0, v) for x, v in zip((a, b, shift, pa_, gap), (*held[:3], held[4], held[5])))
+                first = np.insert(first, 0, held[3])
+            at = np.flatnonzero(factors_of(a, b, shift, pa_, gap))
+            ends = np.r_[at[1:], len(a)] - 1
+            held = (a[-1], b[-1], shift[-1], first[at[-1]], pa_[-1], gap[-1])
+            done, end = at[:-1], ends[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[done], b[done], shift[done], first[done], pa_[end])], names)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([v], np.int64 if i < 2 else np.int32)) for i, v in enumerate(held[:5])], names)
+
+    placed = met.repartition("a", "b").sortWithinPartitions("a", "b", "shift", "pa").select("a", "b", "shift", "pa", "gap")
+    return placed.mapInArrow(run, "a bigint, b bigint, shift int, first int, last int")
+
+
+def spans(members: DataFrame, texts: DataFrame, min_length: int = MIN_LENGTH, k: int = K, cold: int = COLD, whole: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(factors, strings): where the classes of (code_id, cid), with their texts (code_id, cid, code), share text.
 
     ``factors``: (a, b, a_start, b_start, n) with a < b, a stretch of n >= min_length characters around common anchors; it
     is maximal if ``whole``; otherwise it is enough of it, and of each pair, to tell that they share one.
     ``strings``: (s, cid, pos, paired), exact strings of ``min_length`` characters over much-shared anchors that at least
     two classes have; those with equal s are equal. None if no anchor is shared that much.
     """
+    ship(texts.sparkSession)
     found = stored(anchor_table(texts, min_length, k))
     groups = stored(grouped(found, "h", cold))
+    one_each = members.groupBy("cid").agg(F.min("code_id").alias("code_id"))
     position = lambda c: F.shiftright(c, 32).cast("int")
     gap = F.col("x.at").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     met = met_in(groups, cold).where(reaching("x.e", "y.e")).select(
         F.col("x.cid").alias("a"),
         F.col("y.cid").alias("b"),
-        position(F.col("x.at")).alias("pa"),
         (position(F.col("y.at")) - position(F.col("x.at"))).alias("shift"),
+        position(F.col("x.at")).alias("pa"),
         F.when(F.col("x.g") == F.col("y.g"), gap).otherwise(0).alias("gap"),
     )
-    line = Window.partitionBy("a", "b", "shift").orderBy("pa")
-    begins = met.repartition("a", "b").withColumn("new", F.coalesce((F.lag("gap").over(line) == 0) | (F.lag(F.col("pa") + F.col("gap")).over(line) != F.col("pa")), F.lit(True)).cast("int"))
-    chained = begins.withColumn("factor", F.sum("new").over(line))
-    factor = chained.groupBy("a", "b", "shift", "factor").agg(F.min("pa").alias("first"), F.max("pa").alias("last")).drop("factor")
+    factor = parsed(met)
     strings = None
     hot = groups.where(F.size("p") > cold).select("h")
     if not hot.isEmpty():
-        again, strings = refined(found.join(small(hot), "h").select("h", "cid", position(F.col("at")).alias("pos"), "e"), texts, min_length, k, cold)
+        again, strings = refined(among(found, hot).select("h", "cid", position(F.col("at")).alias("pos"), "e"), one_each, texts, min_length, k, cold)
         factor = factor.unionByName(again)
     inside = F.col("last") - F.col("first") + k
     if whole:
-        return bounded(factor, texts, min_length, k), strings
+        return bounded(factor, one_each, texts, min_length, k), strings
     sure = inside >= min_length
     decided = factor.withColumn("sure", F.max(sure).over(Window.partitionBy("a", "b")))
     decided = stored(decided.where(sure | ~F.col("sure")))
     kept = decided.where("sure").select("a", "b", F.col("first").alias("a_start"), (F.col("first") + F.col("shift")).alias("b_start"), inside.alias("n"))
-    return kept.unionByName(bounded(decided.where("not sure").drop("sure"), texts, min_length, k)), strings
+    return kept.unionByName(bounded(decided.where("not sure").drop("sure"), one_each, texts, min_length, k)), strings
+
+
+def among(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows whose ``h`` is in ``hot``, which has it once: by a broadcast if that is small, else salted, for these are the hottest keys."""
+    side = small(hot)
+    return rows.join(side, "h") if side is not hot else spread_join(rows, hot, ["h"], "inner")
 
 
 def reaching(x: str, y: str):
@@ -230,7 +278,7 @@ def met_in(groups: DataFrame, cold: int) -> DataFrame:
     return groups.where(F.size("p") <= cold).select(F.inline(F.flatten(partners)))
 
 
-def refined(places: DataFrame, texts: DataFrame, min_length: int, k: int, cold: int) -> tuple[DataFrame, DataFrame | None]:
+def refined(places: DataFrame, one_each: DataFrame, texts: DataFrame, min_length: int, k: int, cold: int) -> tuple[DataFrame, DataFrame | None]:
     """Much-shared anchors, as (a, b, shift, first, last) where they meet, and as exact strings where even more is shared.
 
     A stretch of ``min_length`` characters over an anchor has half of the rest on one side of it at least; so the anchor
@@ -244,14 +292,14 @@ def refined(places: DataFrame, texts: DataFrame, min_length: int, k: int, cold:
         F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), (F.col("y.pos") - F.col("x.pos")).alias("shift"), F.col("x.pos").alias("first"), F.col("x.pos").alias("last")
     )
     hot = groups.where(F.size("p") > cold).select("h")
-    strings = None if hot.isEmpty() else exact_strings(longer.join(small(hot), "h").select("h", "cid", "pos").distinct(), texts.dropDuplicates(["cid"]), min_length, k)
+    strings = None if hot.isEmpty() else exact_strings(among(longer, hot).select("h", "cid", "pos").distinct(), one_each, texts, min_length, k)
     return factor.distinct(), strings
 
 
-def bounded(factor: DataFrame, texts: DataFrame, min_length: int, k: int) -> DataFrame:
+def bounded(factor: DataFrame, one_each: DataFrame, texts: DataFrame, min_length: int, k: int) -> DataFrame:
     """Factors extended at both boundaries by comparing characters, as (a, b, a_start, b_start, n) of at least ``min_length``.
 
-    Each text is shuffled once: both sides of a factor ask for their context in one join, and then meet.
+    Both sides of a factor ask one member of their class for their context, in one join, and then meet.
     """
     ship(texts.sparkSession)
     reach = 2 * min_length
@@ -260,10 +308,11 @@ def bounded(factor: DataFrame, texts: DataFrame, min_length: int, k: int) -> Dat
         F.struct(F.col("a").alias("cid"), F.lit(0).alias("side"), F.col("first").alias("x"), F.col("last").alias("y")),
         F.struct(F.col("b").alias("cid"), F.lit(1).alias("side"), (F.col("first") + shift).alias("x"), (F.col("last") + shift).alias("y")),
     )
-    asked = small(stored(factor.select("a", "b", "shift", "first", "last", F.inline(sides)).distinct()))
+    asked = factor.select("a", "b", "shift", "first", "last", F.inline(sides)).distinct()
+    asked = small(stored(spread_join(asked, one_each, ["cid"], "inner")))
     left = F.greatest(F.col("x") - reach, F.lit(0))
     context = F.struct("side", F.col("code").substr(left + 1, F.col("x") - left).alias("l"), F.col("code").substr(F.col("y") + k + 1, F.lit(reach)).alias("r"))
-    both = asked.join(texts, "cid").groupBy("a", "b", "shift", "first", "last").agg(F.min(context).alias("p"), F.max(context).alias("q"))
+    both = asked.join(texts, ["cid", "code_id"]).groupBy("a", "b", "shift", "first", "last").agg(F.min(context).alias("p"), F.max(context).alias("q"))
     two = both.select("a", "b", "shift", "first", "last", F.col("p.l").alias("la"), F.col("p.r").alias("ra"), F.col("q.l").alias("lb"), F.col("q.r").alias("rb"))
 
     def run(batches):
@@ -295,15 +344,18 @@ def common(x: str, y: str) -> int:
     return low
 
 
-def exact_strings(hot: DataFrame, texts: DataFrame, min_length: int, k: int) -> DataFrame:
+def exact_strings(hot: DataFrame, one_each: DataFrame, texts: DataFrame, min_length: int, k: int) -> DataFrame:
     """(s, cid, pos, paired): strings of ``min_length`` characters over much-shared anchors that at least two classes have.
 
-    Of neighbouring strings that the same classes share, one is ``paired``: the others would only give the same pairs.
+    ``s`` is a hash of 128 bits. Of neighbouring strings that the same classes share, one is ``paired``: the others would
+    only give the same pairs.
     """
     low = F.greatest(F.col("pos") + k - min_length, F.lit(0))
     high = F.least(F.col("pos"), F.length("code") - min_length)
-    starts = hot.select("cid", "pos", "h").join(texts, "cid").where(low <= high).select("cid", "h", "code", F.explode(F.sequence(low, high)).alias("at"))
-    string = F.xxhash64(F.col("code").substr(F.col("at") + 1, F.lit(min_length)), F.lit(min_length)).alias("s")
+    asked = hot.select("cid", "pos", "h").join(one_each, "cid")
+    starts = asked.join(texts, ["cid", "code_id"]).where(low <= high).select("cid", "h", "code", F.explode(F.sequence(low, high)).alias("at"))
+    piece = F.col("code").substr(F.col("at") + 1, F.lit(min_length))
+    string = F.struct(F.xxhash64(piece, F.lit(min_length)).alias("x"), F.xxhash64(F.lit(1), piece).alias("y")).alias("s")
     strings = stored(starts.select(string, "cid", F.col("at").alias("pos"), "h").groupBy("s", "cid", "pos").agg(F.min("h").alias("h")))
     owners = strings.groupBy("s", "cid").agg(F.min("h").alias("h"))
     who = [F.count("*").alias("n"), F.sum(F.xxhash64("cid") % 1000000007).alias("who"), F.bit_xor(F.xxhash64("cid")).alias("who2"), F.min("h").alias("h")]
@@ -313,6 +365,29 @@ def exact_strings(hot: DataFrame, texts: DataFrame, min_length: int, k: int) ->
     return strings.select("s", "cid", "pos").join(marked, "s")
 
 
+def class_pairs(members: DataFrame, texts: DataFrame, min_length: int = MIN_LENGTH, **options) -> DataFrame:
+    """(a, b), a < b: all pairs of classes that share a stretch, once each."""
+    factors, strings = spans(members, texts, min_length, whole=False, **options)
+    between = factors.select("a", "b")
+    if strings is not None:
+        s = strings.where("paired").select("s", "cid").distinct()
+        between = between.unionByName(s.withColumnRenamed("cid", "a").join(s.withColumnRenamed("cid", "b"), "s").where("a < b").select("a", "b"))
+    return between.distinct()
+
+
+def linked(rows: DataFrame, min_length: int = MIN_LENGTH, **options) -> DataFrame:
+    """The form without pairs of records: code_id, class_id (the smallest code_id of equal text), n_copies and n_links, one row each.
+
+    ``n_links`` counts the classes of other texts that share a stretch with this one, so the links of copies aren't written
+    out; whoever wants them joins classes. Records of less than ``min_length`` characters have no row.
+    """
+    members, texts = classes(rows, min_length)
+    both = class_pairs(members, texts, min_length, **options)
+    links = both.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
+    named = members.groupBy("cid").agg(F.min("code_id").alias("class_id"), F.count_distinct("code_id").alias("n_copies")).join(links, "cid", "left")
+    return spread_join(members, named, ["cid"], "inner").select("code_id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def pairs(rows: DataFrame, min_length: int = MIN_LENGTH, **options) -> DataFrame:
     """(code_id_a, code_id_b), a < b: all pairs of records that share a stretch of at least ``min_length`` characters.
 
@@ -320,14 +395,10 @@ def pairs(rows: DataFrame, min_length: int = MIN_LENGTH, **options) -> DataFrame
     an id that comes with several texts stands for all of them. Exact copies are pairs as well.
     """
     members, texts = classes(rows, min_length)
-    factors, strings = spans(texts, min_length, whole=False, **options)
-    between = factors.select("a", "b")
-    if strings is not None:
-        s = strings.where("paired").select("s", "cid").distinct()
-        between = between.unionByName(s.withColumnRenamed("cid", "a").join(s.withColumnRenamed("cid", "b"), "s").where("a < b").select("a", "b"))
+    between = class_pairs(members, texts, min_length, **options)
     left = members.select(F.col("cid").alias("a"), F.col("code_id").alias("x"))
     right = members.select(F.col("cid").alias("b"), F.col("code_id").alias("y"))
-    across = between.distinct().join(left, "a").join(right, "b").select("x", "y")
+    across = between.join(left, "a").join(right, "b").select("x", "y")
     within = members.select("cid", F.col("code_id").alias("x")).join(members.select("cid", F.col("code_id").alias("y")), "cid").where("x < y").select("x", "y")
     both = across.unionByName(within).where("x <> y")
     return both.select(F.least("x", "y").alias("code_id_a"), F.greatest("x", "y").alias("code_id_b")).distinct()
@@ -340,7 +411,7 @@ def coverage(rows: DataFrame, min_length: int = MIN_LENGTH, **options) -> DataFr
     Records with a null code have no row. Of an id with several texts, the largest figures count.
     """
     members, texts = classes(rows, min_length)
-    factors, strings = spans(texts, min_length, **options)
+    factors, strings = spans(members, texts, min_length, **options)
     end = lambda x: (F.col(x) + F.col("n")).alias("y")
     covered = factors.select(F.col("a").alias("cid"), F.col("a_start").alias("x"), end("a_start")).unionByName(
         factors.select(F.col("b").alias("cid"), F.col("b_start").alias("x"), end("b_start"))

@@ -50,6 +50,32 @@ def test_exact(spark, corpus, cold):
     assert shared == {i: covered.get(i, 0) for i, c in corpus if i is not None and c is not None}
 
 
+@pytest.mark.parametrize("cold", [3, 48])
+def test_classes_and_their_links(spark, corpus, cold):
+    df = spark.createDataFrame([(i, c) for i, c in corpus if i is not None], KIND)
+    text = {i: c for i, c in corpus if i is not None and c is not None and len(c) >= 120}
+    by_text = defaultdict(set)
+    for i, c in text.items():
+        by_text[c].add(i)
+    pairs, _ = brute(list(text.items()))
+    links = {c: {text[b if text[a] == c else a] for a, b in pairs if c in (text[a], text[b]) and text[a] != text[b]} for c in by_text}
+    got = {r.code_id: (r.class_id, r.n_copies, r.n_links) for r in spans.linked(spans.records(df), cold=cold).collect()}
+    assert got == {i: (min(by_text[c]), len(by_text[c]), len(links[c])) for i, c in text.items()}
+
+
+def test_parse_goes_on_across_batches(spark):
+    places = [(1, 2, 5, 10 * i, 10 if i % 4 != 3 else 0) for i in range(40)] + [(1, 3, 0, 0, 7), (1, 3, 0, 8, 0), (2, 3, 1, 0, 5), (2, 3, 1, 5, 0)]
+    df = spark.createDataFrame(places, "a long, b long, shift int, pa int, gap int")
+    want = [(1, 2, 5, 40 * i, 40 * i + 30) for i in range(10)] + [(1, 3, 0, 0, 0), (1, 3, 0, 8, 8), (2, 3, 1, 0, 5)]
+    for size in (1, 3, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert sorted(tuple(r) for r in spans.parsed(df).collect()) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert spans.parsed(df.limit(0)).count() == 0
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(spans, "_BLOCK", 64)
     rng = random.Random(2)
