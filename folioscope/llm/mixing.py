@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, small
+from ..session import cut, once, small
 
 #: The most leaves a target table may have; the tree is budgeted on the driver.
 MAX_LEAVES = 100_000
@@ -134,6 +134,9 @@ def shares(mixed: DataFrame, leaves: list[dict], total: float, levels: Sequence[
 
 
 def counted_documents(docs: DataFrame, levels: Sequence[str], counts) -> DataFrame:
-    """doc_id, levels and n_tokens of each document, once per doc_id, kept in a checkpoint: the text is tokenized only once."""
+    """doc_id, levels and n_tokens of each document, once per doc_id, kept in a checkpoint: the text is tokenized only once.
+
+    Rows are made single after they are counted, when they are small; of rows that differ the least one stays.
+    """
     named = docs.where(" and ".join(f"`{x}` is not null" for x in ["doc_id", *levels]))
-    return cut(counts(named, ["doc_id", *levels])).dropDuplicates(["doc_id"])
+    return cut(once(counts(named, ["doc_id", *levels]), ["doc_id"]))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, stored
+from ..session import ship, spread_join, stored
 
 DIMENSIONS = 128
 #: Vectors of the sample that centres are fitted on, and rounds of fitting.
@@ -113,10 +113,11 @@ def neighbours(rows: DataFrame, k: int = 5, probes: int = PROBES, floor: float =
     """
     spark = rows.sparkSession
     ship(spark)
-    good = rows.where(usable(d))
-    per = Window.partitionBy("embedding").orderBy("key")
+    # Equal vectors are a class, known by a hash of 128 bits; the vector itself is carried once.
+    good = rows.where(usable(d)).select("key", "embedding", *[F.xxhash64(F.lit(seed), "embedding").alias(n) for seed, n in enumerate(("e1", "e2"))])
+    per = Window.partitionBy("e1", "e2").orderBy("key")
     ranked = good.withColumn("__n", F.row_number().over(per)).where(F.col("__n") <= k + 1)
-    classes = ranked.groupBy("embedding").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    classes = ranked.groupBy("e1", "e2").agg(F.first("embedding").alias("embedding"), F.array_sort(F.collect_list("key")).alias("keys"))
     base = stored(_units(classes, d).withColumn("cid", F.monotonically_increasing_id()))
     n = base.count()
     if n == 0:
@@ -132,7 +133,7 @@ def neighbours(rows: DataFrame, k: int = 5, probes: int = PROBES, floor: float =
     found = _searched(placed, centres, sizes, k, floor, d)
     best = found.groupBy("cid").agg(F.flatten(F.collect_list("hits")).alias("hits"))  # at most probes times blocks of k each
     top = best.select("cid", F.slice(F.sort_array("hits", asc=False), 1, k).alias("hits"))
-    return _named(base.select("cid", "keys"), top, good, classes, k, floor)
+    return _named(base.select("cid", "e1", "e2", "keys"), top, good, k, floor)
 
 
 def _units(classes: DataFrame, d: int) -> DataFrame:
@@ -141,9 +142,9 @@ def _units(classes: DataFrame, d: int) -> DataFrame:
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
             x /= np.abs(x).max(1, keepdims=True)
             x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([v.tobytes() for v in x], pa.binary())], ["keys", "unit"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([v.tobytes() for v in x], pa.binary())], ["e1", "e2", "keys", "unit"])
 
-    return classes.select("embedding", "keys").mapInArrow(run, "keys array<string>, unit binary")
+    return classes.select("embedding", "e1", "e2", "keys").mapInArrow(run, "e1 bigint, e2 bigint, keys array<string>, unit binary")
 
 
 def _placed(base: DataFrame, centres: np.ndarray, probes: int, d: int) -> DataFrame:
@@ -218,7 +219,7 @@ def _searched(placed: DataFrame, centres: np.ndarray, sizes: dict, k: int, floor
     return members.unionByName(queries).groupBy("cell", "m", "q").applyInArrow(meet, "cid bigint, hits array<struct<cos:float,other:bigint>>")
 
 
-def _named(keys: DataFrame, top: DataFrame, good: DataFrame, classes: DataFrame, k: int, floor: float) -> DataFrame:
+def _named(keys: DataFrame, top: DataFrame, good: DataFrame, k: int, floor: float) -> DataFrame:
     """Classes back to keys: copies of a vector first, then the members of its neighbours, in order of cosine and key."""
     one = top.select("cid", F.posexplode("hits").alias("at", "h")).select("cid", F.col("h.cos").alias("cos"), F.col("h.other").alias("other"))
     met = one.join(keys.select(F.col("cid").alias("other"), F.slice("keys", 1, k).alias("theirs")), "other")
@@ -226,7 +227,8 @@ def _named(keys: DataFrame, top: DataFrame, good: DataFrame, classes: DataFrame,
     own = F.transform("keys", lambda t: F.struct(F.lit(-2.0).cast("float").alias("far"), t.alias("name")))
     lists = keys.join(near, "cid", "left").select("cid", "keys", F.array_sort(F.concat(F.when(F.lit(1.0) >= floor, own).otherwise(F.array().cast("array<struct<far:float,name:string>>")), F.coalesce("near", F.array().cast("array<struct<far:float,name:string>>")))).alias("all"))
     few = lists.select(F.explode("keys").alias("key"), "all")  # classes of up to k + 1 keys are whole; larger ones are completed below
-    rest = good.select("key", "embedding").join(classes.where(F.size("keys") > k).select("embedding", "keys"), "embedding").where(~F.array_contains("keys", F.col("key")))
+    large = keys.where(F.size("keys") > k).select("e1", "e2", "keys")
+    rest = spread_join(good.select("key", "e1", "e2"), large, ["e1", "e2"], "inner").where(~F.array_contains("keys", F.col("key")))
     rest = rest.select("key", F.transform("keys", lambda t: F.struct(F.lit(-2.0).cast("float").alias("far"), t.alias("name"))).alias("all"))
     both = few.unionByName(rest) if floor <= 1.0 else few
     picked = both.select("key", F.slice(F.filter("all", lambda x: x["name"] != F.col("key")), 1, k).alias("all"))

@@ -94,6 +94,35 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixed, leaves, total, ["source"])
 
 
+#: A tree over the sources of the test data: domains, and the weights of languages within each source.
+DOMAINS = {
+    "api_ref": "reference", "spec": "reference", "changelog": "reference", "guide": "learning", "tutorial": "learning", "handbook": "learning",
+    "readme": "learning", "forum": "talk", "issue": "talk", "crawl": "web",
+}
+LANGUAGE_WEIGHTS = {"en": 0.6, "de": 0.12, "fr": 0.1, "es": 0.1, "ja": 0.05, "und": 0.03}
+TREE = ["domain", "language", "source"]
+
+
+def p8_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mix by domain, language and source: what a leaf can't give its siblings give first, then the rest of its domain."""
+    pairs = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    languages = F.array(*[F.struct(F.lit(k).alias("language"), F.lit(w).alias("weight")) for k, w in LANGUAGE_WEIGHTS.items()])
+    domain = F.try_element_at(pairs(DOMAINS), F.col("source")).alias("domain")
+    targets = table(spark, d, "mix_targets").distinct().select("source", domain, "target_share", "max_repeats", F.inline(languages))
+    targets = targets.withColumn("target_share", F.col("target_share") * F.col("weight"))
+    lower = F.lower("lang")
+    language = F.when(lower.isin(*LANGUAGE_WEIGHTS), lower).otherwise("und").alias("language")
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", domain, language).where("domain is not null")
+    counted = mixing.counted_documents(docs, TREE, bpe.token_counts)
+    leaves, total = mixing.plan(counted, targets, TREE)
+    return mixing.shares(mixing.mix(counted, leaves, TREE), leaves, total, TREE)
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Share of characters in abnormal lines, and mean bits under the two models, of every document."""
+    return prose.spam_scores(table(spark, d, "documents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents mostly of keywords, links, menus, tags or codes."""
     return prose.spam(table(spark, d, "documents"))
@@ -115,7 +144,9 @@ QUERIES: dict[str, Query] = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_tree": p8_tree,
     "p9_found": p9_found,
+    "p9_scores": p9_scores,
 }
 
 _CANON = r"""
