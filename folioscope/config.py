@@ -16,6 +16,7 @@ DEFAULTS: dict[str, dict] = {
 OWNER_FILES = ("CODEOWNERS", ".github/CODEOWNERS", "docs/CODEOWNERS")
 DOC_DIRECTORIES = ("docs", "doc", "documentation")
 CODE_DIRECTORIES = ("src", "lib", "app")
+SNIPPET_SOURCE_DIRECTORIES = ("src", "lib", "app", "main", "source")
 
 
 class InvalidSettings(ValueError):

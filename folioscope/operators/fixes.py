@@ -55,6 +55,14 @@ def propose(broken: DataFrame, files: DataFrame) -> DataFrame:
     return rows.withColumn("fix", fix).where("fix is not null").select("link_id", F.col("doc_path").alias("file_path"), "line", F.col("url").alias("original_url"), "fix.*")
 
 
+def remaining(broken: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Broken links (url and others) whose url no automatic fix has: what is left for people to look at.
+
+    By url alone, as users know it: the same url is left out in other files, too.
+    """
+    return broken.join(fixes.where("auto_fixable").select(F.col("original_url").alias("url")).distinct(), "url", "left_anti")
+
+
 def apply(documents: DataFrame, fixes: DataFrame) -> DataFrame:
     """Pages with their automatic fixes: doc_path, fixed_content, attempted, succeeded.
 

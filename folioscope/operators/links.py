@@ -169,6 +169,31 @@ def probe_status(probes: DataFrame, retries: int = 2) -> DataFrame:
     return last.select("url", status.alias("status"), code.alias("status_code"), message.alias("error_message"), "n_attempts")
 
 
+def route(url: Column) -> Column:
+    """Where an external url is checked, with the parts that the check needs: by the API of a repository host (``repository``
+    or, for a link to a file, ``repository_file``) or by a plain request (``request``)."""
+    r = repository(url)
+    kind_ = F.when(r["path"].isNotNull(), "repository_file").when(r["repo"].isNotNull(), "repository").otherwise("request")
+    return F.struct(kind_.alias("route"), r["owner"].alias("owner"), r["repo"].alias("repo"), r["branch"].alias("branch"), r["path"].alias("path"))
+
+
+def repository_results(urls: DataFrame, answers: DataFrame) -> DataFrame:
+    """(url, status, status_code, suggestion) of repository links from answers (owner, repo, branch, path, repo_code, file_code,
+    default_branch), one row per distinct owner, repo, branch and path; urls without an answer are errors.
+
+    Where a file is missing on the branch of the link and the repository has another default branch, that is suggested.
+    """
+    parts = urls.where("url is not null").select("url", route(F.col("url")).alias("r")).select("url", "r.*").where("route <> 'request'")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    key = ["owner", "repo", "branch", "path"]
+    known = answers.select(*[text(F.col(c)).alias(c) for c in key], "repo_code", "file_code", "default_branch")
+    rows = spread_join(parts.select("url", "route", *[text(F.col(c)).alias(c) for c in key]), known, key)
+    status = F.coalesce(repository_status(F.col("repo_code"), F.col("file_code"), F.col("route") == "repository_file"), F.lit("error"))
+    code = F.when(F.col("route") == "repository_file", F.coalesce(F.when(F.col("repo_code") == 200, F.col("file_code")), F.col("repo_code"))).otherwise(F.col("repo_code"))
+    hint = F.when((status == "broken") & (F.col("repo_code") == 200) & (F.col("default_branch") != F.col("branch")), F.concat(F.lit("Try branch "), "default_branch"))
+    return rows.select("url", status.alias("status"), code.alias("status_code"), hint.alias("suggestion"))
+
+
 def repository_status(repo_code: Column, file_code: Column, has_path: Column) -> Column:
     """Status of a repository link by the answers of a REST API: missing repository or file broken, other failures error."""
     return (

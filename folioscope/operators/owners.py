@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import globs
@@ -81,6 +81,30 @@ def group_counts(results: DataFrame) -> DataFrame:
     )
 
 
+def files_of(files: DataFrame, path: str = "doc_path") -> DataFrame:
+    """(owner_key, path): each file under its owners' key, once; files without owners under ``_no_owner_``.
+
+    Rows and not a list for each key, since one owner may have most of the files.
+    """
+    return files.select("owner_key", F.col(path).alias("path")).distinct()
+
+
+def fixable(broken: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Per owner_key of ``broken`` (link_id, doc_path, owner_key): broken links, those with an automatic fix, the files of either."""
+    auto = fixes.where("auto_fixable").select("link_id", F.lit(True).alias("auto")).distinct()
+    rows = broken.join(auto, "link_id", "left")
+    return rows.groupBy("owner_key").agg(
+        F.count("*").alias("broken"), F.count_if("auto").alias("fixable"), F.count_distinct("doc_path").alias("files"), F.count_distinct(F.when(F.col("auto"), F.col("doc_path"))).alias("files_to_fix")
+    )
+
+
+def first_fixes(fixes: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` automatic fixes of each owner_key, in order of file, line and url (the limit is the feature)."""
+    order = Window.partitionBy("owner_key").orderBy("file_path", "line", "original_url", "link_id")
+    ranked = fixes.where("auto_fixable").withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
+    return ranked.select("owner_key", "n", "file_path", "line", "original_url", "suggested_url")
+
+
 def chosen(groups: DataFrame, only: Sequence[str] = (), skip: Sequence[str] = ()) -> DataFrame:
     """Groups whose key contains one of ``only`` (if any is given) and none of ``skip``."""
     key = F.col("owner_key")

@@ -71,6 +71,15 @@ def unchanged(files: DataFrame, index: DataFrame, key: str = "file_path") -> tup
     return files.join(known, same, "left_semi"), files.join(known, same, "left_anti")
 
 
+def embedding_hits(cache: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, hit) of cached paths: their file (path, content_hash) has the cached hash, or isn't there at all; otherwise stale.
+
+    ``cache``: path, cached_hash. Paths that aren't cached have no row: they are misses.
+    """
+    both = cache.join(files, "path", "left")
+    return both.select("path", (F.col("content_hash").isNull() | F.coalesce(F.col("content_hash") == F.col("cached_hash"), F.lit(False))).alias("hit"))
+
+
 def content_hash(content: Column) -> Column:
     """The first 32 hex digits of the SHA-256 of a text."""
     return F.left(F.sha2(content, 256), F.lit(32))

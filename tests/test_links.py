@@ -135,7 +135,9 @@ def test_content_matching_is_exact(spark, tiny):
     b = spark.read.parquet(f"{tiny}/code_blocks.parquet").dropDuplicates(["code_id"]).where(r"code rlike '\\S' and coalesce(language, '') <> ''")
     codes = {r.code_id: r.c for r in b.select("code_id", similarity.normalise_code(F.col("code")).alias("c")).collect()}
     path = {r.code_id: r.file_path for r in s.collect()}
-    got = {r.code_id: r for r in documents.snippet_status(spark, tiny).collect()}
+    whole = snippets.validate(spark.read.parquet(f"{tiny}/code_blocks.parquet").dropDuplicates(["code_id"]), s.withColumnRenamed("code_id", "symbol_id"))
+    got = {r.code_id: r for r in whole.withColumn("similarity", F.round("similarity", 6)).collect()}
+    fast = {r.code_id: r for r in documents.snippet_status(spark, tiny).collect()}
     free = [i for i in codes if got[i].strategy in (None, "content")]
     assert any(got[i].strategy == "content" for i in free)
     for i in free:
@@ -150,5 +152,7 @@ def test_content_matching_is_exact(spark, tiny):
                 best = (r, k)
         if best[0] >= 0.3:
             assert got[i].similarity == round(best[0], 6) and got[i].source_path == path[best[1]]
+            # the query compares only codes with stretches in common: it finds every match from 0.5 on, and never a better one
+            assert fast[i].similarity == got[i].similarity if best[0] >= 0.5 else fast[i].similarity <= got[i].similarity
         else:
-            assert got[i].status == "not_found"
+            assert got[i].status == fast[i].status == "not_found"
