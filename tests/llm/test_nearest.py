@@ -76,3 +76,23 @@ def test_collection(spark):
 def test_floor(spark, floor):
     x = np.random.default_rng(5).standard_normal((40, 128))
     assert nearest.neighbours(frame(spark, x), floor=floor).count() == 0
+
+
+def test_two_levels(spark, monkeypatch):
+    """With few cells allowed on a level, there are two, and recall stays."""
+    monkeypatch.setattr(nearest, "MOST_CELLS", 8)
+    monkeypatch.setattr(nearest, "MEMBERS", 32)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 128))
+    x = (centres[rng.integers(0, 40, 3000)] + 0.7 * rng.standard_normal((3000, 128))).astype(np.float32)
+    x[:1000] = centres[0] + 0.3 * rng.standard_normal((1000, 128))  # a third of all in one place
+    df = spark.createDataFrame([(f"v{i:04d}", v.tolist()) for i, v in enumerate(x)] + [("bad", None)], "key string, embedding array<float>")
+    got = {}
+    for r in nearest.neighbours(df).collect():
+        got.setdefault(int(r.key[1:]), []).append(int(r.neighbour[1:]))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = np.argpartition(-s, 5, axis=1)[:, :5]
+    assert len(got) == 3000 and all(len(v) == 5 for v in got.values())
+    assert np.mean([len(set(got[i]) & set(want[i].tolist())) / 5 for i in range(3000)]) >= 0.9
