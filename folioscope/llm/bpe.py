@@ -193,6 +193,21 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     return source.mapInArrow(run, f"id {kind}, ids array<int>").select(F.col("id").alias(id_column), "ids")
 
 
+def decode(encoded: DataFrame, id_column: str = "doc_id", ids_column: str = "ids", vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
+    """(id, text): ids turned back to the text they stand for, the inverse of ``encode``; null ids give an empty text."""
+    source = encoded.select(f"`{id_column}`", f"`{ids_column}`")
+    kind = source.schema[0].dataType.simpleString()
+    ship(encoded.sparkSession)
+
+    def run(batches):
+        pieces = {i: raw for raw, i in encoder(folder, vocabulary).ranks.items()}
+        for batch in batches:
+            texts = [b"".join(map(pieces.__getitem__, ids or [])).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
+
+    return source.mapInArrow(run, f"id {kind}, text string").select(F.col("id").alias(id_column), "text")
+
+
 def _slices(batch: pa.RecordBatch, rows: int = 1000):
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)

@@ -17,13 +17,17 @@ CLOSERS = "[\"')\\]\\x{201d}\\x{2019}\\x{bb}]"
 
 
 def core_pattern(body: int) -> str:
-    """Matches of at most ``body`` characters that together are the whole text, cut at the strongest boundary in their second half."""
+    """Matches of at most ``body`` characters that together are the whole text.
+
+    They are cut at the strongest boundary in their second half; if there is none, at the strongest in their first half; by
+    character only if there is none at all.
+    """
     low = max(1, body // 2)
-    any_ = f"[\\s\\S]{{{low},{body}}}"
     head = "(?=[ ]{0,3}#{1,6}[ \\t])"
-    return "|".join(
-        [
-            f"[\\s\\S]{{1,{body}}}\\z",
+
+    def bounded(least: int, most: int) -> list[str]:
+        any_ = f"[\\s\\S]{{{least},{most}}}"
+        return [
             f"{any_}(?<=\\n){head}",
             f"{any_}(?<=\\n[ \\t\\r]{{0,8}}\\n)(?![ \\t\\r]*\\n)",
             f"{any_}(?<=\\n)",
@@ -31,10 +35,11 @@ def core_pattern(body: int) -> str:
             f"{any_}(?<=[\\x{{3002}}\\x{{ff01}}\\x{{ff1f}}])",
             f"{any_}(?<=\\s)(?=\\S)",
             f"{any_}(?<=\\s)",
-            f"[\\s\\S]{{1,{body - 1}}}[^\\r](?!\\p{{M}})",
-            f"[\\s\\S]{{1,{body}}}",
         ]
-    )
+
+    whole = [f"[\\s\\S]{{1,{body}}}\\z"]
+    by_character = [f"[\\s\\S]{{1,{body - 1}}}[^\\r](?!\\p{{M}})", f"[\\s\\S]{{1,{body}}}"]
+    return "|".join([*whole, *bounded(low, body), *(bounded(1, low - 1) if low > 1 else []), *by_character])
 
 
 def lookback(before: Column, overlap: int) -> Column:
