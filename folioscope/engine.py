@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import globs
-from .operators import fixes, links, owners, semantic, snippets
+from .operators import fixes, links, owners, reports, semantic, snippets
+from .session import spread_join
 from .sources import caches, markdown
 
 
@@ -23,11 +24,13 @@ def scan(
     exclude: Sequence[str] = (),
     ttl_hours: float = 24,
     retries: int = 2,
+    repositories: DataFrame | None = None,
 ) -> DataFrame:
     """Every link of the pages with its status.
 
     In this order: ignored and mailto links are skipped; internal ones are checked against ``files`` and headings; external
-    ones are cached if a live cache row has them, else as the log of ``probes`` says, else error. Columns: link_id,
+    ones are cached if a live cache row has them, else, for links to a repository host, as the answers of its API in
+    ``repositories`` say, else as the log of ``probes`` says, else error. Columns: link_id,
     doc_path, ord, text, url, line, is_image, status, status_code, error_message, suggestion, from_cache.
     """
     pages = documents.where(~globs.excluded(F.col("doc_path"), exclude)) if exclude else documents
@@ -54,21 +57,34 @@ def scan(
             F.col("c_status").isNotNull().alias("from_cache"),
         )
     )
-    both = all_.join(checked, "link_id", "left").join(outer, "url", "left")
+    if repositories is not None:
+        told = links.repository_results(urls, repositories).select("url", F.col("status").alias("r_status"), F.col("status_code").alias("r_code"), F.col("suggestion").alias("r_hint"))
+        outer = outer.join(told, "url", "left")
+        routed = F.col("r_status").isNotNull() & ~F.col("from_cache")
+        outer = outer.select(
+            "url", F.when(routed, F.col("r_status")).otherwise(F.col("o_status")).alias("o_status"), F.when(routed, F.col("r_code")).otherwise(F.col("status_code")).alias("status_code"),
+            F.when(routed, None).otherwise(F.col("o_error")).alias("o_error"), "from_cache", F.when(routed, F.col("r_hint")).alias("o_hint"),
+        )
+    else:
+        outer = outer.withColumn("o_hint", F.lit(None).cast("string"))
+    both = spread_join(all_.join(checked, "link_id", "left"), outer, ["url"])
     skipped = F.col("ignored").isNotNull() | (F.col("kind") == "mailto")
     return both.select(
         "link_id", "doc_path", "ord", "text", "url", "line", "is_image",
         F.when(skipped, "skipped").otherwise(F.coalesce("status", "o_status")).alias("status"),
         F.when(~skipped, F.col("status_code")).alias("status_code"),
         F.when(F.col("ignored").isNotNull(), F.concat(F.lit("Ignored by pattern: "), "ignored")).otherwise(F.coalesce("error_message", "o_error")).alias("error_message"),
-        "suggestion", F.coalesce("from_cache", F.lit(False)).alias("from_cache"),
+        F.coalesce("suggestion", "o_hint").alias("suggestion"), F.coalesce("from_cache", F.lit(False)).alias("from_cache"),
     )
 
 
-def validate_snippets(documents: DataFrame, symbols: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Status of every snippet of the pages against source symbols."""
+def validate_snippets(documents: DataFrame, symbols: DataFrame, threshold: float = 0.8, by_content: bool | str = "shingles", vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Status of every snippet of the pages against source symbols.
+
+    ``by_content``: True compares all codes, exactly and in quadratic time; ``shingles`` those with stretches in common.
+    """
     blocks = markdown.code_blocks(markdown.scan(documents)).withColumn("code_id", F.xxhash64("doc_path", "ord"))
-    return snippets.validate(blocks, symbols, threshold)
+    return snippets.validate(blocks, symbols, threshold, by_content, vectors)
 
 
 def orphaned_docs(docs: DataFrame, code: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -81,6 +97,22 @@ def missing_docs(docs: DataFrame, code: DataFrame, threshold: float = 0.5) -> Da
     return semantic.orphans(code, docs, threshold)
 
 
+def related_code(docs: DataFrame, code: DataFrame, k: int = 5) -> DataFrame:
+    """The code most similar to each page."""
+    return semantic.related(docs, code, k)
+
+
+def similar_code(snippets_: DataFrame, code: DataFrame, k: int = 3, threshold: float = 0.3) -> DataFrame:
+    """The code nearest to each snippet's vector."""
+    return semantic.nearest(snippets_, code, k, threshold, "distance")
+
+
+def report(results: DataFrame, text: str, path: str, markdown_: bool = False) -> None:
+    """Write the report of a scan, with owners by the text of an owners file, to a folder."""
+    named = owners_of(results, text)
+    reports.write_report(reports.scan_markdown(named) if markdown_ else reports.scan_json(named), path)
+
+
 def owners_of(files: DataFrame, text: str, path: str = "doc_path") -> DataFrame:
     """Files with their owners, by the text of an owners file."""
     return owners.keyed(files, *owners.parse_rules(text), path=path)

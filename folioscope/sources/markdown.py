@@ -19,7 +19,12 @@ from ..session import ship
 
 
 def list_files(root: str, endings: tuple[str, ...] = (".md", ".mdx")) -> list[str]:
-    """All files under ``root`` with one of the endings, in order of their path's components; hidden ones as well."""
+    """All files under ``root`` with one of the endings, in order of their path's components; hidden ones as well.
+
+    A ``root`` that is a file stands for itself alone, whatever its ending.
+    """
+    if os.path.isfile(root):
+        return [root]
     found = [os.path.join(d, f) for d, _, files in os.walk(root) for f in files if f.endswith(endings)]
     return sorted(found, key=lambda p: p.split(os.sep))
 
@@ -43,6 +48,31 @@ def read_files(spark: SparkSession, paths: list[str], base: str) -> DataFrame:
     return frame.repartition(parts).mapInArrow(run, "doc_path string, base_path string, content string")
 
 
+def write_files(pages: DataFrame, content: str = "content") -> DataFrame:
+    """Write (doc_path, ``content``) back to files, by the executors: (doc_path, written).
+
+    A file is written beside itself and moved into place, so a task that runs again leaves the same. Null contents and
+    files that can't be written count as not written.
+    """
+
+    def run(batches):
+        for batch in batches:
+            done = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    if text is None:
+                        raise OSError
+                    with open(f"{path}.{os.getpid()}.part", "w", encoding="utf-8", newline="") as f:
+                        f.write(text)
+                    os.replace(f"{path}.{os.getpid()}.part", path)
+                    done.append(True)
+                except OSError:
+                    done.append(False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.bool_())], ["doc_path", "written"])
+
+    return pages.select("doc_path", content).mapInArrow(run, "doc_path string, written boolean")
+
+
 _FENCE = re.compile(r"^([ ]{0,3})(`{3,}|~{3,})[ \t]*([^\n]*)$")
 _ATX = re.compile(r"^[ ]{0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _CONTAINER = re.compile(r"^[ ]{0,3}(?:>[ ]?|[-+*](?:[ \t]+|$)|\d{1,9}[.)](?:[ \t]+|$))")

@@ -100,6 +100,34 @@ def test_shingles_find_what_copies_share(spark):
     assert fast == exact and set(fast) == {1, 2}
 
 
+def test_snippets_by_vectors(spark):
+    blocks = spark.createDataFrame([(1, "d", "python", "a = 1\n", None, []), (2, "d", "python", "b = 2\n", None, [])], "code_id long, doc_path string, language string, code string, file_hint string, symbols array<string>")
+    source = spark.createDataFrame([(10, "s/a.py", 0, "f", 1, "def zz():\n    return 5\n")], "symbol_id long, file_path string, ord int, name string, start_line int, code string")
+    vectors = (spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "code_id long, embedding array<float>"), spark.createDataFrame([(10, [0.9, 0.1])], "symbol_id long, embedding array<float>"))
+    got = {r.code_id: (r.symbol_id, r.strategy) for r in snippets.matches(blocks, source, False, vectors).collect()}
+    assert got == {1: (10, "embedding")}
+
+
+def test_write_files(spark, tmp_path):
+    from folioscope.sources import markdown
+
+    (tmp_path / "a.md").write_text("old")
+    df = spark.createDataFrame([(str(tmp_path / "a.md"), "new\r\n"), (str(tmp_path / "no" / "b.md"), "x"), (str(tmp_path / "c.md"), None)], "doc_path string, content string")
+    assert sorted(r.written for r in markdown.write_files(df).collect()) == [False, False, True]
+    assert (tmp_path / "a.md").read_bytes() == b"new\r\n" and markdown.list_files(str(tmp_path / "a.md")) == [str(tmp_path / "a.md")]
+
+
+def test_scan_routes_repositories(spark, tmp_path):
+    from folioscope import engine
+
+    docs = spark.createDataFrame([("r/a.md", "r", "[x](https://github.com/o/r/blob/old/q.md) [y](https://github.com/o/r) [z](https://z.example)\n")], "doc_path string, base_path string, content string")
+    answers = spark.createDataFrame([("o", "r", "old", "q.md", 200, 404, "main"), ("o", "r", None, None, 200, None, "main")], "owner string, repo string, branch string, path string, repo_code int, file_code int, default_branch string")
+    done = engine.scan(docs, docs.selectExpr("doc_path as path"), repositories=answers)
+    assert {r.text: (r.status, r.suggestion) for r in done.collect()} == {"x": ("broken", "Try branch main"), "y": ("ok", None), "z": ("error", None)}
+    engine.report(done, "* @a\n", f"file:{tmp_path}/out")
+    assert spark.read.text(f"file:{tmp_path}/out").count() > 0
+
+
 def test_spread_join_and_once(spark):
     big = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)] + [(None, -1)], "k string, i int")
     side = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "k string, v int")
