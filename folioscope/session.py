@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Largest estimated size, in bytes, of a side that is ever broadcast by hint.
 BROADCAST_BYTES = 8 << 20
+#: One row in so many is looked at to find hot keys.
+HOT_RATE = 32
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -85,12 +87,14 @@ def hot_keys(df: DataFrame, key: str, most: int = 64) -> DataFrame:
 def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
     """``rows`` joined with ``side`` on ``keys``; the 64 most frequent keys of ``rows`` are salted, so none fills a task.
 
-    Salts are hashes of the rows themselves, so a task that runs again gives the same ones. ``side`` should be distinct by
+    They are looked for among one row in ``HOT_RATE``, chosen by a hash: only where rows go depends on that, never which
+    rows come out. Salts are hashes of the rows themselves, so a task that runs again gives the same ones. ``side`` should be distinct by
     its keys; its rows of hot keys are repeated ``salts`` times.
     """
     key = F.when(F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda x: x), F.xxhash64(*keys))
     plain = [f"`{c}`" for c, t in rows.dtypes if "map<" not in t and "variant" not in t]
-    hot = hot_keys(rows.select(key.alias("__k")), "__k")
+    some = rows.where(F.pmod(F.xxhash64(F.lit(5), *plain), F.lit(HOT_RATE)) == 0)
+    hot = hot_keys(some.select(key.alias("__k")), "__k")
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*plain), F.lit(salts))).otherwise(0).cast("int")
     left = rows.withColumn("__k", key).join(hot, "__k", "left").withColumn("__salt", salt).drop("__k", "hot")
     copies = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
