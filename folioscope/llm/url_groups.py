@@ -3,8 +3,8 @@
 A url is cut into its raw values, the first part and the fields. The dictionary has each distinct raw value once, with the
 integer identifier of its canonical form; so every value is canonicalised once, however many urls have it. A url becomes
 the tuple of its first part's identifier and its sorted field identifiers, and equal tuples are one resource. Identifiers
-are 128-bit hashes of canonical values, two integers each: they need no numbering and no exchange, and are the same when
-a task runs again. Urls are reduced to distinct ones first and then stand for themselves by such a hash, so beyond the
+are hashes of canonical values, 96 bits in two integers: they need no numbering and no exchange, and are the same when a
+task runs again. Urls are reduced to distinct ones first and then stand for themselves by such a hash, so beyond the
 dictionary only integers are shuffled. Values, tuples and urls that very many rows have are salted where they are joined.
 """
 
@@ -30,7 +30,8 @@ def values(url: Column) -> Column:
 
 
 def _hashed(*columns: str | Column, names: tuple[str, str]) -> list[Column]:
-    return [F.xxhash64(F.lit(seed), *columns).alias(n) for seed, n in enumerate(names)]
+    """A hash of 96 bits: one of 64 and another, of a different kind, of 32."""
+    return [F.xxhash64(*columns).alias(names[0]), F.hash(*columns).alias(names[1])]
 
 
 def dictionary(urls: DataFrame) -> DataFrame:
@@ -80,5 +81,6 @@ def collapsed(rows: DataFrame) -> DataFrame:
 
 
 def members(rows: DataFrame) -> DataFrame:
-    """(keep_id, status_id): the smallest status_id of each resource with each of the others."""
-    return spread_join(_own(rows), resources(rows), ["u1", "u2"], "inner").where("status_id <> keep_id").select("keep_id", "status_id")
+    """(keep_id, status_id): the smallest status_id of each resource with each of the others, once each."""
+    own = rows.where("url is not null and status_id is not null").select("status_id", *_hashed("url", names=("u1", "u2")))
+    return spread_join(own, resources(rows), ["u1", "u2"], "inner").where("status_id <> keep_id").select("keep_id", "status_id").distinct()
