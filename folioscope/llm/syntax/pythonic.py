@@ -568,7 +568,10 @@ class Python(Parser):
 
     def match(self) -> bool | None:
         self.need("match")
-        self.stars()
+        if self.v[self.i + 1] == ":=":
+            self.named()
+        else:
+            self.stars()
         self.need(":")
         self.need("\n")
         if self.k[self.i] != "indent":
@@ -636,7 +639,7 @@ class Python(Parser):
     # expressions; each returns what it is as a target: name, part, target (a tuple or list of targets), bracketed or other
     def stars(self) -> str:
         """Expressions separated by commas, perhaps starred."""
-        first = self.starred()
+        first = self.plain()
         if self.v[self.i] != ",":
             if first == "starred":
                 self.fail("a starred expression needs a list or tuple")
@@ -645,9 +648,16 @@ class Python(Parser):
         while self.take(","):
             if self.v[self.i] in ("\n", "=", ")", "]", "}", ":", ";", "") or self.k[self.i] == "eof" or self.v[self.i] in self.AUGMENTED:
                 break
-            fine &= self.starred() in ("name", "part", "target", "bracketed", "starred")
+            fine &= self.plain() in ("name", "part", "target", "bracketed", "starred")
         return "target" if fine else "other"
 
+    def plain(self) -> str:
+        """Like ``starred``, where an assignment expression needs brackets."""
+        if self.take("*"):
+            self.binary()
+            return "starred"
+        return self.expression()
+
     def starred(self) -> str:
         if self.take("*"):
             self.binary()
@@ -798,8 +808,6 @@ class Python(Parser):
             n += 1
 
     def condition_in(self) -> None:
-        if self.k[self.i] == "id" and self.v[self.i + 1] == ":=":
-            self.i += 2
         self.either()
 
     def atom(self) -> str:

@@ -258,6 +258,13 @@ def test_invalid_forms():
             assert errors(name, code), (name, code)
 
 
+def test_assignment_expressions_need_brackets():
+    for code in ("x := x\n", "y = x := 1\n", "a, b := 1, 2\n", "for x in y := z: pass\n", "[i for i in y if z := i]\n", "def f():\n  return x := 1\n"):
+        assert errors("python", code), code
+    for code in ("(x := 1)\n", "f(x := 1)\n", "x[y := 1]\n", "while x := f(): pass\n", "[y := i for i in x]\n", "match x := 1:\n  case 1: pass\n", "[i for i in y if (z := i)]\n", "{x := 1}\n"):
+        assert errors("python", code) == [], code
+
+
 def test_all_errors_are_stored():
     assert len(errors("json", "[" + ",".join(["x"] * 500) + "]")) == 500
     assert len(errors("java", "class A {\n" + "int = 1;\n" * 500 + "}")) == 500
