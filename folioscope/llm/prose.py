@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, stored
+from ..session import ship, spread_join, stored
 
-#: Pairs of symbols whose followers are counted, at most: what is sent to the driver and back to the workers.
+#: Pairs of symbols whose followers are sent to the driver and back to the workers, at most; those of other pairs are joined.
 KEPT = 1 << 20
 #: A line is abnormal from so many times the bits of the held-out sentence at the 99th of 100 places.
 HIGH = 2.4
@@ -320,26 +320,35 @@ class Model:
 
     def __init__(self, counted: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         """``counted``: key, class and count of each kind of context."""
-        self.kinds = []
-        for key, value, n in counted:
-            keys, at = np.unique(key, return_inverse=True)
-            total, kinds = np.bincount(at, n, len(keys)), np.bincount(at, minlength=len(keys))
-            table = np.zeros((len(keys), 16), np.float32)
-            table[at, value] = n
-            self.kinds.append((keys, total.astype(np.float32), kinds.astype(np.float32), table))
+        self.kinds = [self.arrays(*c) for c in counted]
+        #: Counts (key, value, n) of the pairs of symbols beyond ``KEPT``, which stay in a table; None without any.
+        self.rest: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "rest": None}
+
+    @staticmethod
+    def arrays(key: np.ndarray, value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of counts of one kind of context: its keys, and of each the sum, the number of classes and the count of each class."""
+        keys, at = np.unique(key, return_inverse=True)
+        total, kinds = np.bincount(at, n, len(keys)), np.bincount(at, minlength=len(keys))
+        table = np.zeros((len(keys), 16), np.float32)
+        table[at, value] = n
+        return keys, total.astype(np.float32), kinds.astype(np.float32), table
 
     @property
     def empty(self) -> bool:
         return not len(self.kinds[0][0])
 
-    def bits(self, code: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Mean bits of each piece, its end included; ``code`` holds the symbols of pieces of ``n`` each."""
+    def bits(self, code: np.ndarray, n: np.ndarray, *rest: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Mean bits of each piece, its end included; ``code`` holds the symbols of pieces of ``n`` each, ``rest`` the pairs beyond ``KEPT``."""
         if not len(n):
             return np.zeros(0)
         x, starts = _padded(code, n)
         at, contexts, c = _contexts(x, starts)
         p = np.full(len(at), 1 / len(_CLASSES))
-        for (keys, total, kinds, table), key in zip(self.kinds, contexts):
+        # A pair of symbols is either in the model or among the rest, so the order of these two doesn't matter.
+        for (keys, total, kinds, table), key in zip([*self.kinds, *rest], [*contexts, contexts[-1]]):
             if not len(keys):
                 continue
             row = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
@@ -363,11 +372,47 @@ class Limits:
             self.low[b] = low.get(b, self.low[b - 1] if b else 0.0)
 
 
+def _with_rest(table: DataFrame, model: Model) -> DataFrame:
+    """Parsed texts beside ``rest``: the counts of those pairs of symbols of theirs that are beyond ``KEPT``; as it is without any."""
+    if model.rest is None:
+        return table
+
+    def run(batches):
+        often = model.kinds[-1][0]
+        for batch in batches:
+            n, code = (x.astype(np.int64) for x in _pieces(batch, ("sizes", "code")))
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+            pair = _contexts(*_padded(code, n))[1][-1]
+            keys, at = np.unique(pair, return_inverse=True)
+            met = np.unique(at * batch.num_rows + np.repeat(doc, n + 1))
+            row = np.minimum(np.searchsorted(often, keys), max(len(often) - 1, 0))
+            beyond = often[row] != keys if len(often) else np.ones(len(keys), bool)
+            met = met[beyond[met // max(batch.num_rows, 1)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(met % max(batch.num_rows, 1))), pa.array(keys[met // max(batch.num_rows, 1)])], ["key", "pair"])
+
+    met = table.select("key", "sizes", "code").mapInArrow(run, "key binary, pair bigint").distinct()
+    rest = model.rest.select(F.col("key").alias("pair"), "value", "n")
+    found = met.join(rest, "pair").groupBy("key").agg(F.collect_list(F.struct("pair", "value", "n")).alias("rest"))
+    return spread_join(table, found, ["key"])
+
+
+def _rest(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``Model.bits`` takes of the counts that ``_with_rest`` gives the texts of a batch."""
+    at = batch.schema.get_field_index("rest")
+    if at < 0:
+        return []
+    got = batch.column(at).flatten()
+    pair, value, n = (got.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+    one = np.unique(pair << 4 | value, return_index=True)[1]
+    return [Model.arrays(pair[one], value[one], n[one])]
+
+
 def train(parsed: DataFrame) -> tuple[Model, Limits]:
     """The model and its limits, from the sentences of all distinct texts of a table of parsed ones.
 
     The executors count; the driver gets sums: of contexts of classes at most 16^4, of pairs of symbols the ``KEPT`` most
-    frequent, and histograms. Texts whose hash falls into ``HELD_OUT`` of 256 give the high limit and no counts.
+    frequent, and histograms. The counts of all other pairs stay in a table and are joined to the texts that have them.
+    Texts whose hash falls into ``HELD_OUT`` of 256 give the high limit and no counts.
     """
     wanted = ["key", "total", "sizes", "flags", "own", "code"]
     once = parsed.where(F.exists("flags", lambda f: f.bitwiseAND(SENTENCE) > 0)).select(*wanted).dropDuplicates(["key"])
@@ -378,10 +423,12 @@ def train(parsed: DataFrame) -> tuple[Model, Limits]:
         return tuple(got.column(i).to_numpy().astype(np.int64) for i in range(3))
 
     pairs = counts.where("kind = 4")
-    often = pairs.groupBy("key").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "key").limit(KEPT)
+    rest = None
     if pairs.select("key").distinct().count() > KEPT:
-        pairs = pairs.join(often.select("key"), "key", "left_semi")
+        often = stored(pairs.groupBy("key").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "key").limit(KEPT).select("key"))
+        pairs, rest = pairs.join(often, "key", "left_semi"), stored(pairs.join(often, "key", "left_anti"))
     model = Model([*(columns(counts.where(F.col("kind") == k)) for k in range(4)), columns(pairs)])
+    model.rest = rest
     low: dict[int, dict[int, int]] = {}
     for key, _, n in zip(*columns(counts.where("kind = 5"))):
         low.setdefault(int(key) >> 12, {})[int(key) & 4095] = int(n)
@@ -392,19 +439,19 @@ def train(parsed: DataFrame) -> tuple[Model, Limits]:
         for batch in batches:
             n, flags, code = _pieces(batch, ("sizes", "flags", "code"))
             n, chosen = n.astype(np.int64), flags & SENTENCE > 0
-            h = model.bits(code.astype(np.int64)[np.repeat(chosen, n)], n[chosen])
+            h = model.bits(code.astype(np.int64)[np.repeat(chosen, n)], n[chosen], *_rest(batch))
             yield _sums(6, np.minimum((h * _STEPS).astype(np.int64), 4095), np.zeros(len(h), np.int64))
 
     apart = once.where(F.conv(F.hex(F.substring("key", 1, 1)), 16, 10).cast("int") < HELD_OUT)
-    hist = {int(k): int(n) for k, _, n in zip(*columns(apart.mapInArrow(held, _COUNTS).groupBy("kind", "key", "value").agg(F.sum("n").alias("n"))))}
+    hist = {int(k): int(n) for k, _, n in zip(*columns(_with_rest(apart, model).mapInArrow(held, _COUNTS).groupBy("kind", "key", "value").agg(F.sum("n").alias("n"))))}
     if not hist:  # too few texts to hold any out
-        hist = {int(k): int(n) for k, _, n in zip(*columns(once.mapInArrow(held, _COUNTS).groupBy("kind", "key", "value").agg(F.sum("n").alias("n"))))}
+        hist = {int(k): int(n) for k, _, n in zip(*columns(_with_rest(once, model).mapInArrow(held, _COUNTS).groupBy("kind", "key", "value").agg(F.sum("n").alias("n"))))}
     return model, Limits(HIGH * _at(hist, 0.99), {b: LOW * _at(h, 0.01) for b, h in low.items()})
 
 
-def judge(model: Model, limits: Limits, total: np.ndarray, doc: np.ndarray, length: np.ndarray, n: np.ndarray, flags: np.ndarray, own: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def judge(model: Model, limits: Limits, total: np.ndarray, doc: np.ndarray, length: np.ndarray, n: np.ndarray, flags: np.ndarray, own: np.ndarray, code: np.ndarray, *rest: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Characters of each page in abnormal pieces, and the mean bits per symbol of each page."""
-    h = model.bits(code, n) if not model.empty else np.zeros(len(n))
+    h = model.bits(code, n, *rest) if not model.empty else np.zeros(len(n))
     odd = (h >= limits.high) & (flags & APART == 0) | (own <= limits.low[_bucket(total)[doc]] if len(doc) else False)
     add = lambda w: np.bincount(doc, w, len(total))
     return add(length * odd), add(h * (n + 1)) / np.maximum(add(n + 1), 1)
@@ -438,13 +485,14 @@ def scored(table: DataFrame, model: Model, limits: Limits) -> DataFrame:
             n, code = n.astype(np.int64), code.astype(np.int64)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(3).offsets.to_numpy()))
             chars, total = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            odd, bits = judge(model, limits, total, doc, length, n, flags, own, code)
+            odd, bits = judge(model, limits, total, doc, length, n, flags, own, code, *_rest(batch))
             some = own < 90
             have = np.bincount(doc[some], minlength=batch.num_rows)
             mean = np.bincount(doc[some], own[some], batch.num_rows) / np.maximum(have, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odd / np.maximum(chars, 1)), pa.array(bits), pa.array(mean, mask=have == 0)], ["doc_id", "odd_share", "bits", "own_bits"])
 
-    return table.select("doc_id", *_NAMES).mapInArrow(run, "doc_id bigint, odd_share double, bits double, own_bits double")
+    whole = _with_rest(table, model)
+    return whole.select("doc_id", *_NAMES, *(["rest"] if "rest" in whole.columns else [])).mapInArrow(run, "doc_id bigint, odd_share double, bits double, own_bits double")
 
 
 def spam_scores(docs: DataFrame) -> DataFrame:

@@ -234,3 +234,12 @@ def test_ordinary_prose_of_other_sources(spark, tiny):
 def test_spam_abstains_without_prose(spark):
     df = spark.createDataFrame([(1, "aaa bbb\n" * 40), (2, "kkk | lll | mmm\n" * 30), (3, None)], "doc_id long, text string")
     assert prose.spam(df).count() == 0
+
+
+def test_rare_pairs_of_symbols_count(spark, tiny, monkeypatch):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    scores = lambda: {r.doc_id: (r.odd_share, r.bits, r.own_bits) for r in prose.spam_scores(docs).collect()}
+    whole = scores()
+    for kept in (0, 50):  # of the pairs, so many go to the driver; all others are joined
+        monkeypatch.setattr(prose, "KEPT", kept)
+        assert scores() == whole
