@@ -156,3 +156,34 @@ def test_content_matching_is_exact(spark, tiny):
             assert fast[i].similarity == got[i].similarity if best[0] >= 0.5 else fast[i].similarity <= got[i].similarity
         else:
             assert got[i].status == fast[i].status == "not_found"
+
+
+def test_every_content_match_is_found(spark, tiny):
+    from folioscope.plans import documents
+
+    s = spark.read.parquet(f"{tiny}/symbols.parquet").dropDuplicates(["code_id"]).withColumnRenamed("code_id", "symbol_id")
+    whole = snippets.validate(spark.read.parquet(f"{tiny}/code_blocks.parquet").dropDuplicates(["code_id"]), s)
+    want = {(r.code_id, r.status, round(r.similarity, 6), r.source_path) for r in whole.collect()}
+    assert {(r.code_id, r.status, r.similarity, r.source_path) for r in documents.snippet_status(spark, tiny).collect()} == want
+
+
+def test_similarities_of_all_pairs(spark):
+    import difflib
+    import random
+
+    from folioscope.functions import sequences
+
+    rng = random.Random(5)
+    mk = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    data = []
+    for letters in ("ab", "abcdefgh XY", "eeeeeeeeeeeeetttttttaaaa  xyzw(){}=;😀"):
+        base = mk(letters, 400)
+        data.append(([mk(letters, rng.randint(0, 500)) for _ in range(12)] + [base[50:250] + mk(letters, 60), "", "e", "e" * 150], [mk(letters, 150), mk(letters, 600), base, mk(letters, 50) + base[50:350], ""]))
+    sequences.register(spark)
+    df = spark.createDataFrame(data, "a array<string>, b array<string>")
+    for least in (0.0, 0.3):
+        for r in df.select("a", "b", sequences.alike(F.col("a"), F.col("b"), least).alias("o")).collect():
+            got = {(int(r.o[k]), int(r.o[k + 1])): r.o[k + 2] for k in range(0, len(r.o), 3)}
+            like = lambda x, y: min(len(x), len(y)) / max(len(x), len(y)) if x in y or y in x else difflib.SequenceMatcher(None, x, y).ratio()
+            want = {(i, j): v for i, x in enumerate(r.a) for j, y in enumerate(r.b) if x and y and (v := like(x, y)) >= least}
+            assert got == want
