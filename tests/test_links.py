@@ -187,3 +187,43 @@ def test_similarities_of_all_pairs(spark):
             like = lambda x, y: min(len(x), len(y)) / max(len(x), len(y)) if x in y or y in x else difflib.SequenceMatcher(None, x, y).ratio()
             want = {(i, j): v for i, x in enumerate(r.a) for j, y in enumerate(r.b) if x and y and (v := like(x, y)) >= least}
             assert got == want
+
+
+def test_similarities_beyond_a_group(spark):
+    import difflib
+    import random
+
+    from folioscope.functions import sequences
+
+    rng = random.Random(7)
+    words = ["return ", "self.", "(x)", "{\n    ", "}\n", " == ", "Value", "queueReload", "47", "9031", "é", "😀", "if ", "for ", "\n"]
+    mk = lambda n: "".join(rng.choice(words) for _ in range(n))
+    a, b = ([mk(rng.randint(0, 60)) for _ in range(66)] for _ in range(2))
+    a += [b[0] + mk(9), b[1][3:], "x" * 64, "ab" * 100]
+    b += [a[2] + mk(5), a[3][:-4], "x" * 128, "ab" * 130]
+    sequences.register(spark)
+    o = spark.createDataFrame([(a, b)], "a array<string>, b array<string>").select(sequences.alike(F.col("a"), F.col("b"), 0.3).alias("o")).first().o
+    got = {(int(o[k]), int(o[k + 1])): o[k + 2] for k in range(0, len(o), 3)}
+    like = lambda x, y: min(len(x), len(y)) / max(len(x), len(y)) if x in y or y in x else difflib.SequenceMatcher(None, x, y).ratio()
+    assert got == {(i, j): v for i, x in enumerate(a) for j, y in enumerate(b) if x and y and (v := like(x, y)) >= 0.3}
+
+
+def test_similarities_take_little_time(spark, tiny):
+    import difflib
+    import random
+    import time
+
+    from folioscope.functions import sequences
+
+    rng = random.Random(9)
+    lines = [x for r in spark.read.parquet(f"{tiny}/symbols.parquet").where("code is not null").select("code").collect() for x in r.code.split("\n") if x.strip()]
+    mk = lambda: "\n".join(rng.choice(lines) for _ in range(rng.randint(8, 40)))
+    a, b = ([mk() for _ in range(700)] for _ in range(2))
+    sequences.register(spark)
+    df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>").select(F.size(sequences.alike(F.col("a"), F.col("b"), 0.3)))
+    began = time.perf_counter()
+    df.collect()
+    mine, began = (time.perf_counter() - began) / 700**2, time.perf_counter()
+    for x, y in zip(a[:100], b):
+        difflib.SequenceMatcher(None, x, y).ratio()
+    assert mine < (time.perf_counter() - began) / 100 / 120
